@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import minhash_dedup
+from gristmill.llm import minhash_dedup, packing, quality, sharding
 from gristmill.tables import table
 
 
+def tokenizer_file() -> tuple[str, str]:
+    """Path and split pattern of the public byte-level vocabulary; GRISTMILL_TOKENIZER overrides the path."""
+    import public_tokenizers
+
+    return os.environ.get("GRISTMILL_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 8)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_minhash_dedup,)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_file(), capacity=1024, end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
