@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import minhash_dedup, packing, quality, sharding
+from gristmill.llm import html_text, minhash_dedup, neighbours, packing, quality, sharding
 from gristmill.tables import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_file() -> tuple[str, str]:
     return os.environ.get("GRISTMILL_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
@@ -33,5 +41,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_file(), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
