@@ -75,6 +75,13 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """n+1 prefix sums of the polynomial hash of 64-bit values, such as the hashes of words."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values)), out=sums[1:])
+    return sums
+
+
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of raw[start:end) for each span; equal spans have equal hashes wherever they stand."""
     inverse = powers(len(sums), inverse=True)

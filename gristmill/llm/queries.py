@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import html_text, minhash_dedup, neighbours, packing, quality, sharding, suffix_dedup
+from gristmill.llm import html_text, minhash_dedup, neighbours, packing, quality, sharding, substring_dedup, suffix_dedup
 from gristmill.tables import table
 
 
@@ -21,6 +21,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=200).drop("kept")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_seen(table(spark, sf_dir, "documents"), span=13).drop("kept")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -45,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_file(), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_substring_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
