@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import html_text, minhash_dedup, neighbours, packing, quality, sharding, substring_dedup, suffix_dedup
+from gristmill.llm import decontaminate, html_text, licenses, minhash_dedup, neighbours, packing, quality, sharding, substring_dedup, suffix_dedup
 from gristmill.tables import table
 
 
@@ -17,6 +18,18 @@ def tokenizer_file() -> tuple[str, str]:
     return os.environ.get("GRISTMILL_TOKENIZER", public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+    return leaks.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(files, threshold=0.6, carry=["doc_id"])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), threshold=200).drop("kept")
 
@@ -49,5 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_file(), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_substring_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_suffix_dedup, op4_substring_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
