@@ -39,7 +39,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of materialized frames that nothing will read again."""
+    for df in frames:
+        found = _PATHS.pop(id(df), None)
+        if found:
+            _remove(df.sparkSession, found[1])
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import kernels as K
-from gristmill.llm.common import arrow_batches, materialize
+from gristmill.llm.common import arrow_batches, discard, materialize
 
 SEED_BYTES, PARTS = 25, 4
 _POS_BITS = np.uint64(31)
@@ -110,13 +110,16 @@ def duplicate_starts(source: DataFrame, threshold: int) -> DataFrame:
     def find(raw: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> list:
         got = anchors(raw, offsets, threshold)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
-        return [rid[got["text"]], *(got[k] for k in ("at", "first", "last", "rank_2", "rank_4", "block"))]
+        return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("rank_2", "rank_4", "block"))]
 
-    schema = [(c, pa.int64()) for c in ("rid", "at", "first", "last", "rank_2", "rank_4", "block")]
-    rows = materialize(source.mapInArrow(_per_text(schema, find), ", ".join(f"{c} long" for c, _ in schema)), "anchors")
+    schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("rank_2", "rank_4", "block"))]
+    rows = materialize(source.mapInArrow(_per_text(schema, find), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
     for rank in ("rank_2", "rank_4"):  # the doubling rounds: unique ranks leave
-        rows = rows.join(repeated(rows, rank), rank)
-    rows = materialize(rows.select("rid", "at", "first", "last", F.col("rank_4").alias("rank"), "block"), "survivors")
+        names = materialize(repeated(rows, rank), rank)
+        kept = materialize(rows.join(names, rank).drop("rank_2"), "ranked")
+        discard(rows, names)
+        rows = kept
+    rows = rows.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), F.col("rank_4").alias("rank"), "block")
     blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "rank")).alias("_one"))
     twice = blocks.filter("_n > 1")
     settled = rows.join(twice.select("block"), "block").select("rid", "first", "last")
