@@ -6,8 +6,8 @@ nothing. Documents are linked where ``100 * |A & B| >= 85 * |A | B|`` (a paramet
 connected component.
 
 How it scales: sets equal to each other collapse first (one partial aggregate, however many copies there
-are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at the threshold with
-probability below 1e-5. Documents that share a bucket, directly or through others, form candidate
+are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at 0.85 with
+probability below 1e-5; 32 bands (``slots`` = 128) one at 0.8 below 1e-7. Documents that share a bucket, directly or through others, form candidate
 clusters by distributed label propagation; only their sets travel, once, and each cluster is resolved
 exactly by union-find.
 
@@ -94,7 +94,7 @@ def band_keys(signatures: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return K.mix(total + np.arange(slots // rows, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = K.text_buffer(batch.column("text"))
         ids = batch.column("doc_id")
@@ -103,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, first = shingle_sets(raw[part[0] : part[-1]], part - part[0])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(values))])
             more = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-            bands = K.signed(band_keys(superminhash(values, first)))
+            bands = K.signed(band_keys(superminhash(values, first, slots)))
             per = bands.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -200,12 +200,12 @@ def clusters(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("label propagation did not settle")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of docs."""
     spark = docs.sparkSession
     arrow_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialize(source.mapInArrow(_sketch, _SKETCH), "sketches")
+    sketches = materialize(source.mapInArrow(lambda batches: _sketch(batches, slots), _SKETCH), "sketches")
     unique = ["n_shingles", "set_a", "set_b"]
     full = sketches.filter("n_shingles > 0")
     least = full.groupBy(*unique).agg(F.min("doc_id").alias("rep"))

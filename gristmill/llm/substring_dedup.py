@@ -129,7 +129,7 @@ def matched_windows(source: DataFrame, span: int, hot_blocks: int = HOT_BLOCKS)
 
 
 def remove_seen(docs: DataFrame, span: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined) of every document; and columns to keep."""
+    """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined; the text as it is where none goes) of every document; and columns to keep."""
     spark = docs.sparkSession
     arrow_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -158,13 +158,13 @@ def remove_seen(docs: DataFrame, span: int = 13, id_col: str = "doc_id", text_co
                 np.add.at(delta, flat.field(0).to_numpy(zero_copy_only=False) + base, 1)
                 np.add.at(delta, flat.field(1).to_numpy(zero_copy_only=False) + base + span, -1)
                 gone = np.cumsum(delta[:-1]) > 0
-                counts, data = np.diff(words.first), body.tobytes()
+                counts, data, starts = np.diff(words.first), body.tobytes(), (part - part[0]).tolist()
                 left: list[bytes] = []
                 for i in range(len(counts)):
                     k = np.flatnonzero(~gone[words.first[i] : words.first[i + 1]]) + words.first[i]
                     left.append(b" ".join([data[a:b] for a, b in zip(words.start[k].tolist(), words.end[k].tolist())]))
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) * (counts > 0) if len(counts) else counts
-                columns = [here.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array([x.decode() for x in left], pa.string())]
+                columns = [here.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array([x.decode() if r else data[a:b].decode() for x, r, a, b in zip(left, removed.tolist(), starts[:-1], starts[1:])], pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *(here.column(f.name) for f in fields)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(f.name for f in fields)])
 
     typed = "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
