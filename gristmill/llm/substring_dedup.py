@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import kernels as K
-from gristmill.llm.common import arrow_batches, materialize
+from gristmill.llm.common import arrow_batches, discard, materialize
 from gristmill.llm.fm_index import FMIndex
 from gristmill.llm.suffix_dedup import _per_text
 
@@ -84,7 +84,10 @@ def matched_windows(source: DataFrame, span: int, hot_blocks: int = HOT_BLOCKS)
     rows = source.filter("doc_id is not null").mapInArrow(_per_text(schema, find), "rid long, doc_id long, first int, last int, anchor long, block long")
     rows = materialize(rows, "blocks")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    rows = materialize(rows.join(materialize(shared, "shared"), "anchor"), "candidates")
+    shared = materialize(shared, "shared")
+    kept = materialize(rows.join(shared, "anchor"), "candidates")
+    discard(rows, shared)
+    rows = kept
     owned = rows.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "rid", "first", "last")).alias("_o"))
     owned = materialize(owned.select("anchor", "block", F.col("_o.doc_id").alias("owner"), "_o.rid", "_o.first", "_o.last"), "owned")
     copies = rows.join(owned.select("block", "owner"), "block").filter("doc_id > owner").select("rid", "first", "last")
@@ -124,6 +127,7 @@ def matched_windows(source: DataFrame, span: int, hot_blocks: int = HOT_BLOCKS)
     index = index.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     found = index.groupBy("shard").applyInArrow(lambda shard: search_shard(shard, span), "block long, at long, owner long").unionByName(lost)
     found = materialize(found, "matches")
+    discard(sequences)
     own = rows.join(found, "block").filter("doc_id = owner").select("rid", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
     return copies.select("rid", F.col("first").cast("long"), F.col("last").cast("long")).unionByName(own)
 
