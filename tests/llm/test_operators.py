@@ -1,0 +1,288 @@
+"""Operators 1, 2, 5, 6, 7, 8 and 10 against brute force, round trips and held-out rows."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest_llm import lower, words
+from pyspark.sql import functions as F
+
+from gristmill.llm import decontaminate, html_text, licenses, neighbours, packing, quality, sharding
+from gristmill.llm.queries import tokenizer_file
+
+
+# 1 decontamination
+def shingles(w, size=5):
+    return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+
+
+def leaks(texts, items, threshold=0.8):
+    found = set()
+    for d, t in texts:
+        w = words(lower(t))
+        for k, it in items:
+            g = words(lower(it))
+            size = min(5, len(g))
+            if not g or d is None:
+                continue
+            want = Counter(shingles(g, size))
+            for p in range(max(1, len(w) - len(g) + 1)):
+                have = Counter(shingles(w[p : p + len(g)], size))
+                both = sum((want & have).values())
+                if both and both / (sum(want.values()) + sum(have.values()) - both) >= threshold:
+                    found.add((d, k))
+                    break
+    return found
+
+
+def test_decontaminate(spark, docs, texts):
+    w = words(dict(texts)[100_000])
+    items = [(1, " ".join(w[500:540])), (2, " ".join(w[900:960]).translate({i: i - 32 for i in range(97, 123)})), (3, None), (4, ""), (5, " ".join(w[50:53])), (6, "not in any document at all I am sure"), (1, " ".join(w[500:540]))]
+    near = w[2000:2050]
+    near[25] = "changed"
+    items.append((7, " ".join(near)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == leaks(texts, items) and {(100_000, k) for k in (1, 2, 5, 7)} <= got
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, broadcast_rows=0).collect()} == got
+
+
+def test_blocks_find_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(1)
+    near = set(decontaminate.masks())
+    for _ in range(2000):
+        bits = rng.choice(64, size=decontaminate.RADIUS, replace=False)
+        x = sum(1 << int(b) for b in bits)
+        assert any((x >> (8 * i) & 255) in near for i in range(8))
+
+
+# 2 licences
+def test_licenses(spark):
+    filler = "thon ereas onti\n" * 5
+    files = [
+        ("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", filler), ("a/b/y.py", filler + "Licensed under the Apache License, Version 2.0."), ("a/c/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
+        ("a/c/d/e/z.py", "# nothing here"), ("f/z.py", "we mention a license once in a long line of other unrelated words and things"), ("top.py", None), (None, ""), ("a/b/x.py", filler),
+    ]
+    df = spark.createDataFrame([(p, t, 1, "q") for p, t in files], "path string, text string, dir int, up string")
+    got = Counter((r["path"], r["own_license"], r["license"], r["license_from"]) for r in licenses.scan(df).collect())
+    assert got == Counter(
+        [
+            ("a/LICENSE", "MIT", "MIT", "a/LICENSE"), ("a/b/x.py", None, "MIT", "a"), ("a/b/x.py", None, "MIT", "a"), ("a/b/y.py", "Apache-2.0", "Apache-2.0", "a/b/y.py"),
+            ("a/c/COPYING.txt", "GPL-3.0", "GPL-3.0", "a/c/COPYING.txt"), ("a/c/d/e/z.py", None, "GPL-3.0", "a/c"), ("f/z.py", None, None, None), ("top.py", None, None, None), (None, None, None, None),
+        ]
+    )
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_license_scores(spark):
+    lines = ["Released under the MIT License.", "released under the mit license today", "All rights reserved", "Licensed under CC BY 4.0."]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(lines)], "path string, text string")
+    weights, unknown = licenses.idf(df, "text")
+    for r in licenses.scan(df).collect():
+        tf = Counter(licenses.terms_of(lines[int(r["path"])]))
+        x = {t: n * weights.get(t, unknown) for t, n in tf.items()}
+        best = 0.0
+        for _, text in licenses.TEMPLATES:
+            y = {t: n * weights[t] for t, n in Counter(licenses.terms_of(text)).items()}
+            dot = sum(v * y.get(t, 0) for t, v in x.items())
+            best = max(best, dot / math.sqrt(sum(v * v for v in x.values())) / math.sqrt(sum(v * v for v in y.values())))
+        assert best >= 0.6 and r["score"] == pytest.approx(best, abs=1e-8)
+
+
+# 5 neighbours
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    x[100:260] = x[100]  # a large group of copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(500, None), (550, [0.0] * 16), (600, [float("nan")] * 16), (650, [1.0, None] + [0.0] * 14), (None, [1.0] * 16), (700, [1.0] * 8), (701, [2.0] * 8), (0, x[0].tolist())]
+    df = spark.createDataFrame([(i, v, "c") for i, v in rows], "vec_id long, embedding array<float>, score string")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    x = x.astype(np.float32).astype(float)
+    for q in range(0, 400, 50):
+        s = neighbours.cosine(np.repeat(x[q : q + 1], 400, axis=0), x)
+        s[q] = -9
+        order = np.lexsort((np.arange(400), -s))[:5]
+        assert got[q] == [(int(i), float(s[i])) for i in order]
+    assert got[700] == [(701, pytest.approx(1.0))] and set(got) == {*range(0, 400, 50), 700}
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_quantisation_bound_holds():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(60, 33)), rng.normal(size=(70, 33)) ** 3
+    (qa, sa, ea), (qb, sb, eb) = neighbours.quantise(a), neighbours.quantise(b)
+    exact = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
+    near = (qa.astype(float) @ qb.astype(float).T) * sa[:, None] * sb[None, :]
+    assert (np.abs(exact - near) <= ea[:, None] + (1 + ea[:, None]) * eb[None, :] + 1e-9).all()
+
+
+# 6 html
+def test_html_on_unseen_layouts():
+    model = html_text.train()
+    pages = html_text.sample_pages(150, seed=77)
+    right = 0
+    for page, got in zip(pages, html_text.extract_pages(pages, model)):
+        nodes, blocks = html_text.parse(page)
+        label = [1]
+        for node in nodes[1:]:
+            label.append(int(node.label) if node.label is not None else label[node.parent])
+        right += got == "\n\n".join(t for i, t in blocks if label[i])
+    assert right / len(pages) > 0.93
+
+
+def test_html_cases(spark):
+    pages = [
+        (1, "u", '<html><body><nav><a href="/">Home</a></nav><article><h1>Title &amp; more</h1><p>One  two\n three.<p><b>Four.</article><footer>&copy; x</footer>'),
+        (2, None, None), (3, "u", ""), (4, "u", "<<<>>> </p></div> <p>Plain sentences of some length stand here. They go on.</p> <scr"), (5, "u", "<script>var a='<p>no</p>';</script><style>p{}</style>"),
+        (6, "u", "<div class='cookie-notice'><p>We use cookies.</p></div><main><p>The main text is here, with some words. And more.</p></main><section id='comments'><p>First! I like this one.</p></section>"),
+        (1, "u", '<html><body><article><p>Again.</article>'),
+    ]
+    df = spark.createDataFrame([(*p, "t", 3) for p in pages], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect())
+    assert got[0] == (1, "Again.", 6) and got[1] == (1, "Title & more\n\nOne two three.\n\nFour.", 35)
+    assert got[2] == (2, "", 0) and got[3] == (3, "", 0) and "Plain sentences" in got[4][1] and got[5] == (5, "", 0)
+    assert got[6][1] == "The main text is here, with some words. And more."
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_messages_give_exact_marginals():
+    rng = np.random.default_rng(5)
+    parent = np.array([-1, 0, 0, 1, 1, 2])
+    unary, edge = rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
+    p, pair, z = html_text.marginals(html_text.Forest(parent, np.array([0, 1, 1, 2, 2, 2])), unary, edge)
+    weight = {}
+    for code in range(64):
+        x = [code >> i & 1 for i in range(6)]
+        weight[tuple(x)] = math.exp(sum(unary[i][x[i]] for i in range(6)) + sum(edge[x[parent[i]]][x[i]] for i in range(1, 6)))
+    total = sum(weight.values())
+    assert z == pytest.approx(math.log(total))
+    for i in range(6):
+        assert p[i, 1] == pytest.approx(sum(v for x, v in weight.items() if x[i]) / total)
+    assert pair[4, 1, 0] == pytest.approx(sum(v for x, v in weight.items() if x[1] == 1 and x[4] == 0) / total)
+
+
+# 7 sharding
+def test_sharding(spark, docs, texts):
+    got = sharding.shard(docs).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 8) and 0 <= r["shard"] < 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard(docs.limit(0)).count() == 0
+    keys = spark.range(20_000).select("id", *[sharding.jump_hash(F.col("id"), n).alias(f"n{n}") for n in (1, 5, 6, 12)]).toPandas()
+    assert (keys.n1 == 0).all()
+    moved = keys.n5 != keys.n6
+    assert (keys.n6[moved] == 5).all() and abs(moved.mean() - 1 / 6) < 0.01
+    assert keys.n12.value_counts().between(1450, 1900).all()
+
+
+# 8 quality
+def test_quality_compiles_to_the_fitted_model(spark, docs):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(float)
+    rules = quality.fit(x, y, ["a", "b", "c"])
+    want = 1 / (1 + np.exp(-(quality.fires(rules.rules, x) @ rules.weights + rules.bias)))
+    assert ((want >= 0.5) == y).mean() > 0.95
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    got = df.select(rules.column({k: F.col(k) for k in "abc"}).alias("s")).toPandas().s
+    assert np.allclose(np.sort(got), np.sort(want))
+
+
+def test_quality_cases(spark, docs, texts):
+    labels = spark.createDataFrame([(d, int(d % 2), 0) for d, _ in texts[:40]] + [(999, 1, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in texts)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert quality.classify(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
+    assert quality.classify(docs.limit(0), labels).count() == 0
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(tuple(r) for r in quality.classify(docs, flipped).collect()) == sorted(tuple(r) for r in got)  # the held-out fold is not seen
+
+
+def test_quality_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    out = quality.classify(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).filter("held_out")
+    rows = out.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    assert (rows.predicted == rows.quality).mean() > 0.9
+
+
+# 10 packing
+def test_packing(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    path, pattern = tokenizer_file()
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    got = packing.pack(docs, path, pattern, capacity=1024, end_id=2).collect()
+    want = Counter()
+    for d, t in texts:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        starts = packing.piece_starts(len(ids), 1024)
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            want[d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(docs.limit(0), path, pattern).count() == 0
+
+
+def test_encoder_equals_the_tokenizer_on_odd_spaces():
+    from tokenizers import Tokenizer
+
+    path, pattern = tokenizer_file()
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    enc = packing.encoder(path, pattern)
+    rng = np.random.default_rng(7)
+    bits = [" ", "\n", "\t", "  ", " ", "　", "a", "Bé", "12", "'s", "!!", "<|endoftext|>", "\x1c", "\x85", "语"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits, rng.integers(0, 12)))
+        assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_equals_sequential_best_fit():
+    rng = np.random.default_rng(8)
+    for capacity in (10, 64):
+        lengths = sorted(rng.integers(1, capacity + 1, 500).tolist(), reverse=True)
+        gaps: list[int] = []
+        for n in lengths:
+            fit = [g for g in gaps if g >= n]
+            if fit:
+                g = min(fit)
+                gaps.remove(g)
+                gaps.append(g - n)
+            else:
+                gaps.append(capacity - n)
+        used: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        seen = Counter()
+        for length, r0, r1, per, first, offset in packing.best_fit_plan(dict(Counter(lengths)), capacity):
+            assert r0 == seen[length]
+            seen[length] = r1
+            for r in range(r1 - r0):
+                used[first + r // per].append((offset + r % per * length, length))
+        assert seen == Counter(lengths) and len(used) == len(gaps)
+        for spans in used.values():
+            at = 0
+            for o, n in sorted(spans):
+                assert o == at
+                at += n
+            assert at <= capacity
