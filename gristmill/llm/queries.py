@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, html_text, licenses, minhash_dedup, neighbours, packing, quality, sharding, substring_dedup, suffix_dedup
+from gristmill.llm import decontaminate, html_text, licenses, minhash_dedup, neighbours, oracles, packing, quality, sharding, substring_dedup, suffix_dedup
 from gristmill.tables import table
 
 
@@ -63,4 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_suffix_dedup, op4_substring_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.OP1, "op2_licenses": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_neighbours": oracles.OP5, "op9_minhash_dedup": oracles.OP9,
+}
