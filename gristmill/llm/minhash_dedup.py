@@ -9,7 +9,8 @@ How it scales: sets equal to each other collapse first (one partial aggregate, h
 are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at 0.85 with
 probability below 1e-5; 32 bands (``slots`` = 128) one at 0.8 below 1e-7. Documents that share a bucket, directly or through others, form candidate
 clusters by distributed label propagation; only their sets travel, once, and each cluster is resolved
-exactly by union-find.
+exactly by union-find. A cluster whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered: ``link_large``
+resolves it by rounds of distributed comparisons with centres, to the same result.
 
 Defined cases: null text is empty; repeated rows with one doc_id act as one document; extra columns are ignored.
 """
@@ -21,13 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import kernels as K
 from gristmill.llm.common import arrow_batches, materialize
 
 SHINGLE, SLOTS, BAND_ROWS = 5, 64, 4
+#: Shingles of the clusters that one task resolves, about 200 MB of working arrays.
+MAX_CLUSTER_SHINGLES = 4_000_000
+CENTRES = 8
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -200,6 +204,57 @@ def clusters(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("label propagation did not settle")
 
 
+def _verified(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of asked whose sets meet the threshold; a row of two sets at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                n = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                ok.append(100 * n >= percent * (len(x) // 8 + len(y) // 8 - n))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def link_large(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(rep, component_id) of the members of large clusters, without gathering any.
+
+    ``pairs`` lists members under the buckets they share. In a round each bucket that still holds several
+    components names up to CENTRES centres outside its largest component, and every member of another component is
+    verified against them; links merge components. A bucket is done when all members outside its largest
+    component have been centres: every pair of different components in it has then been compared, and pairs within
+    a component need no comparison. A round costs rows in proportion to the members, however large a bucket is.
+    """
+    labels = materialize(pairs.select("node", F.col("node").alias("label")).distinct(), "labels")
+    used = None
+    while True:
+        at = materialize(pairs.join(labels, "node"), "buckets")
+        sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.label").alias("most"))
+        outside = at.join(largest, "key").filter("label <> most").drop("most")
+        if used is not None:
+            outside = outside.join(used, ["key", "node"], "left_anti")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        centres = materialize(outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CENTRES).select("key", F.col("node").alias("b"), F.col("label").alias("other")), "centres")
+        if centres.isEmpty():
+            return labels.select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
+        asked = at.join(centres, "key").filter("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        links = materialize(_verified(materialize(asked, "asked"), sets, percent), "links")
+        now = centres.select("key", F.col("b").alias("node"))
+        used = materialize(now if used is None else used.unionByName(now), "used")
+        if links.isEmpty():
+            continue
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        edges = links.join(of("a"), "a").join(of("b"), "b").select("la", "lb").distinct().withColumn("key", F.xxhash64("la", "lb"))
+        graph = materialize(edges.select(F.col("la").alias("node"), "key").unionByName(edges.select(F.col("lb").alias("node"), "key")), "edges")
+        merged = clusters(graph).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of docs."""
     spark = docs.sparkSession
@@ -215,8 +270,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pairs = materialize(pairs.join(shared, "key"), "pairs")
     labels = clusters(pairs)
     members = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
-    sets = source.join(members, "doc_id")
-    sets = sets.select("cluster", "doc_id", "text").mapInArrow(_sets, "cluster long, doc_id long, shingles binary")
+    weights = members.join(reps.select("doc_id", "n_shingles"), "doc_id").groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
+    large = materialize(weights.filter(F.col("w") > MAX_CLUSTER_SHINGLES).select("cluster"), "large")
+    spell = lambda some: source.join(some, "doc_id").select("cluster", "doc_id", "text").mapInArrow(_sets, "cluster long, doc_id long, shingles binary")
+    sets = spell(members.join(large, "cluster", "left_anti"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id")
@@ -224,6 +281,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         return pd.DataFrame({"rep": pdf["doc_id"].to_numpy(), "component_id": found})
 
     linked = sets.groupBy("cluster").applyInPandas(resolve, "rep long, component_id long")
+    if not large.isEmpty():
+        heavy = materialize(members.join(large, "cluster"), "heavy")
+        their = pairs.join(heavy.select(F.col("doc_id").alias("node")), "node")
+        linked = linked.unionByName(link_large(materialize(spell(heavy), "heavy_sets").dropDuplicates(["doc_id"]), materialize(their, "heavy_pairs"), percent))
     least = least.join(linked, "rep", "left").select(*unique, F.coalesce("component_id", "rep").alias("component_id"))
     out = sketches.select("doc_id", *unique).join(least, unique, "left")
     return out.select(

@@ -142,9 +142,8 @@ def test_near_duplicate_chains_and_hot_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = components(rows, 85)
     assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == want
-    if hasattr(minhash_dedup, "MAX_CLUSTER"):
-        monkeypatch.setattr(minhash_dedup, "MAX_CLUSTER", 7)
-        assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(minhash_dedup, "MAX_CLUSTER_SHINGLES", 1000)  # the way of large clusters
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
 def test_superminhash_estimates_similarity():
