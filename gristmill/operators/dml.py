@@ -83,7 +83,11 @@ def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (),
 
 
 class VersionedTable:
-    """A table as a directory of immutable versions and a pointer to the current one."""
+    """A table as immutable parts and a pointer file that names the current ones.
+
+    A rewrite publishes one new part in place of all; an append adds a part and rewrites nothing. A part may be
+    named, so that a batch that is tried again is added once.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -93,30 +97,45 @@ class VersionedTable:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(conf), at
 
-    def current(self) -> str | None:
+    def parts(self) -> list[str]:
+        """Names of the current parts; none before the first publication."""
         fs, at = self._fs(f"{self.path}/CURRENT")
         if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+            return []
+        return [r[0] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()]  # a line for each part
+
+    def exists(self) -> bool:
+        return bool(self.parts())
 
     def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
+        parts = self.parts()
+        if not parts:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
 
-    def publish(self, df: DataFrame, **constraints: object) -> str:
-        """Write a new version, check it, and only then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        if constraints:
-            check(self.spark.read.parquet(f"{self.path}/{version}"), **constraints)
-        fs, at = self._fs(f"{self.path}/NEXT-{version}")
+    def _point(self, parts: list[str]) -> None:
+        fs, at = self._fs(f"{self.path}/NEXT-{uuid.uuid4().hex}")
         out = fs.create(at, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join(parts).encode()))
         out.close()
         target = self._fs(f"{self.path}/CURRENT")[1]
         if fs.exists(target):
             fs.delete(target, False)
         fs.rename(at, target)
-        return version
+
+    def publish(self, df: DataFrame, **constraints: object) -> None:
+        """Replace the table: write a new part, check it, and only then point to it."""
+        part = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{part}")
+        if constraints:
+            check(self.spark.read.parquet(f"{self.path}/{part}"), **constraints)
+        self._point([part])
+
+    def append(self, df: DataFrame, name: str | None = None) -> bool:
+        """Add a part; False if a part of that name is there already."""
+        have, part = self.parts(), name or f"v-{uuid.uuid4().hex}"
+        if part in have:
+            return False
+        df.write.mode("overwrite").parquet(f"{self.path}/{part}")  # what a failed try left behind goes
+        self._point([*have, part])
+        return True

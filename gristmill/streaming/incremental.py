@@ -18,15 +18,16 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int
 def maintain_view(stream: DataFrame, view: View, source: VersionedTable, target: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Ingest a stream: append each batch to the source table and merge its delta into the view."""
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         changes = batch.withColumn("op", F.lit(1)).persist()
-        before = source.read() if source.current() else None
-        after = changes.drop("op") if before is None else before.unionByName(changes.drop("op"))
-        source.publish(after)
-        if target.current() is None:
+        had_view = target.exists()
+        new = source.append(changes.drop("op"), f"batch-{number}")
+        if not had_view:
             target.publish(view.batch(source.read()))
-        else:
+        elif new:
             target.publish(view.merge(target.read(), changes, source.read()))
+        else:  # a batch that is tried again: whether its delta is in the view is not known
+            target.publish(view.batch(source.read()))
         changes.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,7 +37,7 @@ def upsert_stream(stream: DataFrame, target: VersionedTable, key: list[str], che
     """Keep one row a key: later batches replace earlier ones."""
 
     def step(batch: DataFrame, _: int) -> None:
-        have = target.read() if target.current() else batch.limit(0)
+        have = target.read() if target.exists() else batch.limit(0)
         target.publish(upsert(have, batch, key, order=order))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

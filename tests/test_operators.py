@@ -63,6 +63,14 @@ def test_constraints_and_versions(spark, tmp_path):
         dml.check(spark.range(3).toDF("k"), row_limit=2)
 
 
+def test_named_parts_are_added_once(spark, tmp_path):
+    t = dml.VersionedTable(spark, str(tmp_path / "t"))
+    assert t.append(spark.range(3), "batch-0") and t.append(spark.range(2), "batch-1") and not t.append(spark.range(2), "batch-1")
+    assert t.read().count() == 5
+    t.publish(spark.range(1))
+    assert t.read().count() == 1
+
+
 def test_crud_and_procedures(spark, tmp_path):
     t = dml.VersionedTable(spark, str(tmp_path / "t"))
     t.publish(spark.createDataFrame([(1, "a")], "k int, v string"))
