@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import kernels as K
-from gristmill.llm.common import arrow_batches, materialize
+from gristmill.llm.common import arrow_batches, discard, materialize
 
 SHINGLE, SLOTS, BAND_ROWS = 5, 64, 4
 #: Shingles of the clusters that one task resolves, about 200 MB of working arrays.
@@ -198,6 +198,7 @@ def clusters(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
             got.join(jump, "low").select("node", F.least("low", "further").alias("label")), "labels"
         )
         moved = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").limit(1).count()
+        discard(labels)
         labels = new
         if not moved:
             return labels

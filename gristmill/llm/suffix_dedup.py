@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import kernels as K
 from gristmill.llm.common import arrow_batches, discard, materialize
 
-SEED_BYTES, PARTS = 25, 4
+SEED_BYTES, PARTS, LONG_TEXT = 25, 4, 1 << 22
 _POS_BITS = np.uint64(31)
 
 
@@ -69,13 +69,28 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, n
     return dict(zip(names, (text, place - base, first - base, last - base, K.signed(rank_2), K.signed(rank_4), K.signed(block))))
 
 
-def _per_text(schema: list[tuple[str, pa.DataType]], run: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def anchors_in_parts(raw: np.ndarray, offsets: np.ndarray, threshold: int, most: int) -> dict[str, np.ndarray]:
+    """``anchors`` with bounded memory: the windows of a text longer than ``most`` are taken part by part.
+
+    A run of windows that a border splits gives two blocks in place of one, which later rounds resolve alike.
+    """
+    if len(offsets) != 2 or len(raw) <= max(most, threshold):
+        return anchors(raw, offsets, threshold)
+    found = []
+    for at in range(0, len(raw) - threshold + 1, most):
+        part = raw[at : at + most + threshold - 1]
+        got = anchors(part, np.array([0, len(part)]), threshold)
+        found.append(got | {k: got[k] + at for k in ("at", "first", "last")})
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
+def _per_text(schema: list[tuple[str, pa.DataType]], run: Callable, most: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow body: run(raw, offsets, batch rows lo:hi) -> columns, slice by slice."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = K.text_buffer(batch.column("text"))
-            for lo, hi in K.slices(offsets):
+            for lo, hi in K.slices(offsets, most):
                 part = offsets[lo : hi + 1]
                 columns = run(raw[part[0] : part[-1]], part - part[0], batch.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
@@ -101,19 +116,19 @@ def _spans(batch: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return text, at + base, first + base, last + base
 
 
-def duplicate_starts(source: DataFrame, threshold: int) -> DataFrame:
+def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TEXT) -> DataFrame:
     """(rid, first, last): ranges of starts of all ``threshold``-byte strings that also start elsewhere."""
     half = threshold // 2
     reach = threshold - half  # furthest distance from a window's start to its anchor
     width = -(-(reach + 1) // PARTS)
 
     def find(raw: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> list:
-        got = anchors(raw, offsets, threshold)
+        got = anchors_in_parts(raw, offsets, threshold, long_text)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
         return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("rank_2", "rank_4", "block"))]
 
     schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("rank_2", "rank_4", "block"))]
-    rows = materialize(source.mapInArrow(_per_text(schema, find), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
+    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 21)), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
     for rank in ("rank_2", "rank_4"):  # the doubling rounds: unique ranks leave
         names = materialize(repeated(rows, rank), rank)
         kept = materialize(rows.join(names, rank).drop("rank_2"), "ranked")
@@ -183,7 +198,7 @@ def covered(length: int, first: np.ndarray, last: np.ndarray, threshold: int) ->
     return np.cumsum(delta[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id", text_col: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every document."""
     if threshold < 4 * SEED_BYTES or threshold % (8 * SEED_BYTES):
         raise ValueError("the threshold is a multiple of 200 bytes")
@@ -191,7 +206,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     # rows alike in id and text share a rid: each is counted, so they repeat each other, and one list serves all
-    ranges = materialize(duplicate_starts(source, threshold), "starts")
+    ranges = materialize(duplicate_starts(source, threshold, long_text), "starts")
     listed = ranges.groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("at"), "first", "last")).alias("spans"))
     joined = source.join(listed, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 

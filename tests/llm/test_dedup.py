@@ -30,7 +30,8 @@ def test_suffix_dedup(docs, texts):
     assert got == want and sum(k[2] for k in want) > 0
 
 
-def test_suffix_dedup_overlaps_and_edges(spark):
+@pytest.mark.parametrize("most", [1 << 22, 150])
+def test_suffix_dedup_overlaps_and_edges(spark, most):
     rng = np.random.default_rng(1)
     a = "".join(map(chr, rng.integers(97, 123, 900)))
     rows = [(1, a), (2, a[100:299]), (3, a[500:700] + "é" * 300), (4, "ab" * 500), (None, a[:250]), (5, a[:199] + "#" + a[200:420])]
@@ -39,7 +40,7 @@ def test_suffix_dedup_overlaps_and_edges(spark):
     for _, t in rows:
         b = t.encode()
         seen.update(b[p : p + 200] for p in range(len(b) - 199))
-    for r in suffix_dedup.remove_repeats(df).collect():
+    for r in suffix_dedup.remove_repeats(df, long_text=most).collect():
         b = dict(rows)[r["doc_id"]].encode()
         gone = np.zeros(len(b), dtype=bool)
         for p in range(len(b) - 199):
