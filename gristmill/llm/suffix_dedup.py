@@ -144,14 +144,15 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     asked = materialize(single.unionByName(models), "asked")
 
     def with_text(spans: DataFrame) -> DataFrame:
-        listed = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "first", "last")).alias("spans"))
+        listed = spans.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spans.columns if c in ("at", "first", "last", "open")])).alias("spans"))
         return source.join(listed, "rid")
 
     def name_parts(raw: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> list:
         text, at, first, last = _spans(batch, offsets)
         sums = K.prefix_hashes(raw)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        is_open = batch.column("spans").flatten().field(3).to_numpy(zero_copy_only=False)
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         for part in range(PARTS):  # windows whose distance to the anchor is in [near, far]
             near, far = part * width, min((part + 1) * width - 1, reach)
             a, b = np.maximum(first, at - far), np.minimum(last, at - near)
@@ -160,13 +161,14 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
             core = K.span_hashes(sums, at[k] - near, at[k] - far + threshold) + salt
             whole = K.mix(K.span_hashes(sums, a[k], b[k] + threshold) + K.mix((at[k] - a[k]).astype(np.uint64)))
             base = offsets[text[k]]
-            for column, value in zip(columns, (rid[text[k]], at[k] - base, a[k] - base, b[k] - base, K.signed(core), K.signed(whole))):
+            for column, value in zip(columns, (rid[text[k]], at[k] - base, a[k] - base, b[k] - base, K.signed(core), K.signed(whole), is_open[k])):
                 column.append(value)
         return [np.concatenate(c) for c in columns]
 
-    part_schema = [(c, pa.int64()) for c in ("rid", "at", "first", "last", "core", "whole")]
-    parts = with_text(asked).select("rid", "text", "spans").mapInArrow(_per_text(part_schema, name_parts), ", ".join(f"{c} long" for c, _ in part_schema))
-    parts = materialize(parts.join(asked.select("rid", "at", "open"), ["rid", "at"]), "parts")
+    part_schema = [*((c, pa.int64()) for c in ("rid", "at", "first", "last", "core", "whole")), ("open", pa.bool_())]
+    parts = with_text(asked.select("rid", "at", "first", "last", "open")).select("rid", "text", "spans")
+    parts = parts.mapInArrow(_per_text(part_schema, name_parts), ", ".join(f"{c} long" for c, _ in part_schema[:-1]) + ", open boolean")
+    parts = materialize(parts, "parts")
     wholes = parts.groupBy("whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "core")).alias("_one"), F.max("open").alias("open"))
     settled_parts = parts.filter("open").join(wholes.filter("_n > 1").select("whole"), "whole").select("rid", "first", "last")
     cores = repeated(wholes.select("_one.core"), "core")  # of different parts, since copies have just been folded
