@@ -24,6 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import materialize
 from gristmill.llm.decontaminate import let
 
 # fixed values: statements by which licences are named
@@ -97,6 +98,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     base = files.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(path_col).alias("path"), ranked.alias("r"), F.when(F.size(lines) > 0, F.size(terms(text))).alias("n_terms"))
     base = base.withColumn("score", F.round(-F.col("r.b.minus"), 9)).withColumn("own_license", F.when(F.col("score") >= threshold, F.col("r.b.name")))
     base = base.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")))
+    base = materialize(base, "statements")  # the texts are scored once; grants, directories and answers read this
     stem = F.lower(F.regexp_extract("path", r"([^/.]*)(?:\.[^/]*)?$", 1))
     whole = (-2 * F.col("r.size")) >= F.col("n_terms")
     granting = base.filter(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & (stem.isin(FILE_NAMES) | whole))
