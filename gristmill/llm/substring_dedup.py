@@ -121,7 +121,8 @@ def matched_windows(source: DataFrame, span: int, hot_blocks: int = HOT_BLOCKS)
     shards = max(1, -(-int(total) // (6 * SHARD_WORDS)))
     # windows of hot blocks that are equal fold: an index needs the one of the least owner, the others lose to it
     windows = sequences.filter("hot")
-    folded = windows.groupBy("route").agg(F.min(F.struct("owner", "block", "piece", "words")).alias("_o"))
+    # written first, so that the join back is between two shuffles, which adaptive execution can split
+    folded = materialize(windows.groupBy("route").agg(F.min(F.struct("owner", "block", "piece", "words")).alias("_o")), "folded")
     lost = windows.join(folded.select("route", F.col("_o.owner").alias("least")), "route").filter("owner > least").select("block", F.col("piece").cast("long").alias("at"), "owner")
     index = sequences.filter("not hot").select("block", "piece", "owner", "route", "words").unionByName(folded.select("_o.block", "_o.piece", "_o.owner", "route", "_o.words"))
     index = index.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
