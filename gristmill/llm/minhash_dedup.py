@@ -12,7 +12,7 @@ clusters by distributed label propagation; only their sets travel, once, and eac
 exactly by union-find. A cluster whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered: ``link_large``
 resolves it by rounds of distributed comparisons with centres, to the same result.
 
-Defined cases: null text is empty; repeated rows with one doc_id act as one document; extra columns are ignored.
+Defined cases: null text is empty; a row without an id has a set but no component of its own (kept is null); repeated rows with one doc_id act as one document; extra columns are ignored.
 """
 
 from __future__ import annotations
