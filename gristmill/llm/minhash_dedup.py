@@ -6,13 +6,14 @@ nothing. Documents are linked where ``100 * |A & B| >= 85 * |A | B|`` (a paramet
 connected component.
 
 How it scales: sets equal to each other collapse first (one partial aggregate, however many copies there
-are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at 0.85 with
-probability below 1e-5; 32 bands (``slots`` = 128) one at 0.8 below 1e-7. Documents that share a bucket, directly or through others, form candidate
-clusters by distributed label propagation; only their sets travel, once, and each cluster is resolved
-exactly by union-find. A cluster whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered: ``link_large``
-resolves it by rounds of distributed comparisons with centres, to the same result.
-
-Defined cases: null text is empty; a row without an id has a set but no component of its own (kept is null); repeated rows with one doc_id act as one document; extra columns are ignored.
+are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at 0.85 with probability below
+1e-5; 32 bands (``slots`` = 128) one at 0.8 below 1e-7. Documents that share a bucket, directly or through
+others, form candidate clusters by distributed label propagation; only their sets travel, once, and each cluster
+is resolved exactly by union-find. A cluster whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered:
+``link_large`` resolves it by rounds of distributed comparisons with centres, over the pairs that share a bucket.
+
+Defined cases: null text is empty; a row without an id has a set but no component of its own (kept is null);
+repeated rows with one doc_id act as one document; an empty table yields no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
