@@ -96,15 +96,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, br
         listed = own.select("item_id", "n", F.posexplode("g").alias("offset", "h"))
         if listed.count() <= broadcast_rows:
             listed = F.broadcast(listed)
-        shingles = source.select("doc_id", "text", word_hashes(F.col("text")).alias("w")).withColumn("g", shingle_hashes(F.col("w"), size))
-        hits = shingles.select("doc_id", F.xxhash64("text").alias("th"), F.size("w").alias("words"), F.posexplode("g").alias("at", "h")).join(listed, "h")
-        starts = hits.select("doc_id", "th", "item_id", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n"))).alias("start")).distinct()
+        # texts stay below the generator, which would copy them for every shingle; the outer form infers no filter that spells them again
+        spelt = source.select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w")).select("doc_id", "th", F.size("w").alias("words"), shingle_hashes(F.col("w"), size).alias("g"))
+        hits = spelt.select("doc_id", "th", "words", F.posexplode_outer("g").alias("at", "h")).join(listed, "h")
+        starts = hits.select("doc_id", "th", "item_id", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n"))).alias("start")).distinct()
         starts = materialize(starts, "starts")
-        asked = starts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "start")).alias("asked"))
+        asked = starts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("asked"))
         texts = source.withColumn("th", F.xxhash64("text")).join(asked, ["doc_id", "th"])
-        windows = texts.select("doc_id", "asked", shingle_hashes(word_hashes(F.col("text")), size).alias("dg")).select("doc_id", "dg", F.explode("asked").alias("a"))
-        windows = windows.select("doc_id", F.col("a.item_id").alias("item_id"), F.col("a.start").alias("start"), "dg").join(own.select("item_id", "n"), "item_id")
-        windows = windows.select("doc_id", "item_id", "start", F.slice("dg", F.col("start") + 1, F.greatest(F.col("n") - size + 1, F.lit(1))).alias("wg"))
+        window = lambda a, g: F.struct(a["item_id"].alias("item_id"), a["start"].alias("start"), F.slice(g, a["start"] + 1, F.greatest(a["n"] - (size - 1), F.lit(1))).alias("wg"))
+        cut = let(shingle_hashes(word_hashes(F.col("text")), size), lambda g: F.transform("asked", lambda a: window(a, g)))
+        windows = texts.select("doc_id", cut.alias("cut")).select("doc_id", F.explode_outer("cut").alias("c")).select("doc_id", "c.item_id", "c.start", "c.wg")
         windows = materialize(windows.withColumn("wprint", simhash(F.col("wg"))), "windows")
         values = F.explode(F.flatten(F.transform(block_values(F.col("print")), lambda b: F.transform(F.array(*[F.lit(m) for m in masks()]), lambda m: F.struct(b["block"].alias("block"), b["value"].bitwiseXOR(m).alias("value")))))).alias("k")
         index = own.select("item_id", values).select("item_id", "k.block", "k.value")
