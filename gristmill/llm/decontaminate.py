@@ -4,8 +4,9 @@ Built from DataFrame functions alone. Words are split at white space and A-Z low
 five words (an item of fewer words is one shingle of its own length).
 
 1. Seeds: a window can only reach the similarity if it shares a shingle with the item, so shingles of the
-   documents are joined with those of the items. A shared shingle fixes where an item-sized window would
-   start. Item shingles are broadcast only below ``broadcast_rows``, beyond that the join shuffles.
+   documents are joined with those of the items. Every item-sized window with a seed inside is a candidate, wherever
+   the seed stands in it; those with fewer seeds than the similarity takes are left out by count, which loses
+   nothing. Item shingles are broadcast only below ``broadcast_rows``, beyond that the join shuffles.
 2. SimHash: each such window gets the 64-bit SimHash of its shingles, each weighted by its count.
 3. Multi-index: fingerprints are cut into 8 blocks of 8 bits. Two fingerprints within 23 bits agree in some block
    up to 2 bits, so items are listed under all block values within 2 bits and windows look up their own: no
@@ -15,7 +16,8 @@ five words (an item of fewer words is one shingle of its own length).
 Only documents with seeds are read again for their windows. Hot items or passages cost a row a document.
 
 Defined cases: null or empty texts match nothing, nor do empty items; repeated items or documents report each id
-once; ties between windows of a pair go to the more similar, then the earlier one; extra columns are ignored.
+once; ties between windows of a pair go to the more similar, then to one with a shingle at its place in the item, then
+the earlier one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +85,27 @@ def similarity(a: Column, b: Column) -> Column:
     return shared.cast("double") / (F.size(a) + F.size(b) - shared).cast("double")
 
 
+def window_starts(seeds: Column, words: Column, n: Column, size: int, threshold: float) -> Column:
+    """Starts of all windows of ``n`` words that hold as many of the sorted seed positions as the similarity takes.
+
+    A window of x shingles and an item of y reach it only with threshold * (x + y) / (1 + threshold) in common.
+    Each start belongs to the first seed at or after it, so none comes twice.
+    """
+    last, total = F.greatest(F.lit(0), words - n), n - (size - 1)
+    held = F.least(total, words - (size - 1))
+    need = F.greatest(F.lit(1), F.ceil((held + total) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)).cast("int"))
+
+    def of(a: Column) -> Column:
+        def at(i: Column) -> Column:
+            low = F.greatest(F.lit(0), F.get(a, i + need - 1) - held + 1, F.coalesce(F.get(a, i - 1) + 1, F.lit(0)))
+            high = F.least(F.get(a, i), last)
+            return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size(a) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(a) - need)), at))).otherwise(F.array().cast("array<int>"))
+
+    return let(seeds, of)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity of the best window of each leaked item."""
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("w")).filter("size(w) > 0")
@@ -93,15 +116,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, br
     for size in sizes:
         own = items.filter(F.col("s") == size).withColumn("g", shingle_hashes(F.col("w"), size)).withColumn("print", simhash(F.col("g")))
         own = materialize(own.select("item_id", "n", "g", "print"), "items")
-        listed = own.select("item_id", "n", F.posexplode("g").alias("offset", "h"))
+        listed = own.select("item_id", "n", F.explode(F.array_distinct("g")).alias("h"))
         if listed.count() <= broadcast_rows:
             listed = F.broadcast(listed)
         # texts stay below the generator, which would copy them for every shingle; the outer form infers no filter that spells them again
         spelt = source.select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w")).select("doc_id", "th", F.size("w").alias("words"), shingle_hashes(F.col("w"), size).alias("g"))
         hits = spelt.select("doc_id", "th", "words", F.posexplode_outer("g").alias("at", "h")).join(listed, "h")
-        starts = hits.select("doc_id", "th", "item_id", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n"))).alias("start")).distinct()
+        seeds = hits.groupBy("doc_id", "th", "words", "item_id", "n").agg(F.sort_array(F.collect_set("at")).alias("seeds"))
+        starts = seeds.select("doc_id", "th", "item_id", "n", window_starts(F.col("seeds"), F.col("words"), F.col("n"), size, threshold).alias("starts")).filter("size(starts) > 0")
         starts = materialize(starts, "starts")
-        asked = starts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("asked"))
+        asked = starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.transform("starts", lambda st: F.struct("item_id", "n", st.alias("start"))))).alias("asked"))
         texts = source.withColumn("th", F.xxhash64("text")).join(asked, ["doc_id", "th"])
         window = lambda a, g: F.struct(a["item_id"].alias("item_id"), a["start"].alias("start"), F.slice(g, a["start"] + 1, F.greatest(a["n"] - (size - 1), F.lit(1))).alias("wg"))
         cut = let(shingle_hashes(word_hashes(F.col("text")), size), lambda g: F.transform("asked", lambda a: window(a, g)))
@@ -114,7 +138,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, br
         checked = windows.join(near, ["doc_id", "item_id", "start"]).join(own, "item_id")
         checked = checked.withColumn("hamming", F.bit_count(F.col("wprint").bitwiseXOR(F.col("print")))).filter(F.col("hamming") <= RADIUS)
         checked = checked.withColumn("similarity", similarity(F.col("wg"), F.col("g"))).filter(F.col("similarity") >= threshold)
-        best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"), F.col("n"), F.col("hamming"))).alias("b"))
+        checked = checked.withColumn("moved", ~F.exists(F.zip_with("wg", "g", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
+        best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("moved"), F.col("start"), F.col("n"), F.col("hamming"))).alias("b"))
         best = best.select("doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
         found = best if found is None else found.unionByName(best)
     if found is None:

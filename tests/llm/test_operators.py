@@ -53,6 +53,23 @@ def test_decontaminate(spark, docs, texts):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, broadcast_rows=0).collect()} == got
 
 
+def test_decontaminate_tries_every_window(spark):
+    """Reordered, shortened and edited leaks: the best window need not start where a shared shingle would put it."""
+    rng = np.random.default_rng(2)
+    name = lambda k: [f"w{i}" for i in rng.integers(0, 10**9, k)]
+    texts, items = [], []
+    for k, n in enumerate([60, 100, 100, 60, 40, 60, 6, 3]):
+        item = name(n)
+        items.append((k, " ".join(item)))
+        changed = {0: item[-12:] + item[:-12], 1: item[50:] + item[:50], 2: item[-20:] + item[:-20], 3: item[3:], 4: item[:-1] + name(1), 5: item[:30] + name(2) + item[30:], 6: item, 7: item}[k]
+        texts += [(k, " ".join(name(50) + changed + name(50))), (100 + k, " ".join(changed)), (200 + k, " ".join(changed[: n // 2] + name(80) + changed[n // 2 :]))]
+    texts.append((300, "again " * 200))
+    items.append((50, "again " * 30))
+    got = decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == leaks(texts, items)
+    assert {(k, k) for k in (0, 1, 2, 3, 4, 5, 6, 7)} <= leaks(texts, items) and (300, 50) in leaks(texts, items)
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(1)
     near = set(decontaminate.masks())
