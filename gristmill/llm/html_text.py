@@ -29,9 +29,16 @@ from pyspark.sql import functions as F
 
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Form controls and media: what they hold is no text of the page once their own end tag closes them.
+HELD = frozenset("select option optgroup datalist button svg object canvas audio video noscript template annotation annotation-xml".split())
+#: Labels, not prose, even where the end tag is missing.
+LABELS = frozenset("option optgroup svg annotation annotation-xml".split())
+#: An opening tag of these closes open ones, looking no further up than the scope.
+CLOSES_HELD = {"option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"}), "button": ({"button"}, {"body"}), "select": ({"select"}, {"body"})}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr center".split()
+    + "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics".split()
 ) - {"center"}
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -41,6 +48,7 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
+_KNOWN = CLOSES_P | INLINE | VOID | RAW | HELD | {*IMPLIED, "html", "head", "body", "thead", "caption"}
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -83,6 +91,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", -1, (), None, 0)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements: tag, index of their block node
+    held: list[tuple] = []  # open form controls and media: place in the stack, and what to return to at their end tag
     current, pending, link = 0, [], 0
     at, n = 0, len(page)
 
@@ -101,9 +110,35 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
         link -= sum(t == "a" for t, _ in stack[i:])
         del stack[i:]
+        while held and held[-1][0] >= i:
+            held.pop()
         current = stack[-1][1] if stack else 0
 
+    def hold(tag: str) -> None:
+        kinds, scope = CLOSES_HELD.get(tag, ((), ()))
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in kinds:
+                pop_to(i)
+            elif stack[i][0] in scope:
+                break
+        held.append((len(stack), current, pending, len(pending), len(blocks), len(nodes), nodes[current].own, nodes[current].links, link))
+        stack.append((tag, current))
+
+    def let_go(i: int) -> None:
+        """Drop what the element at i of the stack held; one around an article was left open by mistake and is kept."""
+        nonlocal current, pending, link
+        mark = next(h for h in held if h[0] == i)
+        if any(x.tag in ("article", "main", "body") for x in nodes[mark[5] :]):
+            pop_to(i)
+            return
+        _, current, pending, said, n_blocks, n_nodes, nodes[current].own, nodes[current].links, link = mark
+        del pending[said:], blocks[n_blocks:], nodes[n_nodes:], stack[i:]
+        while held and held[-1][0] >= i:
+            held.pop()
+
     def say(text: str) -> None:
+        if held and text and next((t for t, _ in reversed(stack) if t not in INLINE), "") in LABELS:
+            return
         if text:
             pending.append(text)
             if link:
@@ -122,6 +157,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if not attrs.rstrip().endswith("/"):
                     at = end.end() if end else n
                 continue
+            if tag in HELD:
+                if not attrs.rstrip().endswith("/"):
+                    hold(tag)
+                continue
+            if held and tag not in _KNOWN and stack[held[-1][0]][0] == "svg":
+                continue
             if tag in VOID:
                 if tag == "hr":
                     flush()
@@ -161,7 +202,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             tag = m["close"].lower()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    pop_to(i)
+                    if tag in HELD:
+                        let_go(i)
+                    else:
+                        pop_to(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break

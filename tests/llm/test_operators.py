@@ -171,6 +171,24 @@ def test_html_cases(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_open_controls_lose_no_text():
+    """Form controls and media without an end tag end with their parent; with one, what they hold is left out."""
+    prose = "The main text is here, with some words. And more of it follows. It goes on."
+    article = f"<article><h1>Head</h1><p>{prose}</p></article><footer>&copy; x</footer>"
+    said = lambda page: [t for _, t in html_text.parse(page)[1]]
+    for lead in (
+        '<form><datalist><option value="A"><option value="B"></datalist></form>', "<form><select><option>One<option>Two</form>", "<div><button></div>", "<div><button><div></div></div>", "<button>", "<svg><path d='x'><g>", "<video src='v'>", "<canvas>", "<object><param>",
+        "<button><button></button>", "<noscript>", "<template>",
+    ):
+        assert said(f"<body>{lead}{article}</body>") == ["Head", prose, "© x"], lead
+    for inner in ("<button>Go</button>", "<button><div>Go</div></button>", "<select><option>One<option>Two</select>", "<svg><title>t</title><text>no</text><path/></svg>", "<video><p>No video</p></video>", "<svg/>", "<object><object>a</object>b</object>"):
+        assert said(f"<p>Before {inner}after.</p>") == ["Before after."], inner
+    assert said("<p>Text <button>Click</p><p>Next</p>") == ["Text Click", "Next"]
+    assert said("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> holds.</p>") == ["So x=1 holds."]
+    page = f'<body><form><datalist><option value="A"><option value="B"></datalist></form>{article}</body>'
+    assert html_text.extract_pages([page], html_text.train()) == [f"Head\n\n{prose}"]
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(5)
     parent = np.array([-1, 0, 0, 1, 1, 2])
