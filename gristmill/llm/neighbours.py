@@ -8,7 +8,7 @@ Each tile passes on k pairs a query; these are merged by a ranked window with gr
 that starts before the shuffle. Nothing is missed, so recall is 1.
 
 Equal vectors give equal scores and ties go to the smaller id, so among equal vectors only the k + 1
-smallest ids can be among the k nearest (one may be the query's own); the others stay out of the tiles,
+smallest ids can be among the k nearest (one may be the query's own); rows are made distinct first, the others stay out of the tiles,
 which takes away large groups of copies without a loss.
 
 Both sides are cut into blocks of bounded size; blocks, not rows, are replicated.
@@ -72,7 +72,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     clean = clean.filter(
         F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
     )
-    clean = clean.withColumn("dim", F.size("v"))
+    clean = clean.distinct().withColumn("dim", F.size("v"))  # repeated rows would take the places of other ids below
     same = Window.partitionBy("v").orderBy("id")
     pool = clean.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r")
     asked = clean.filter(F.col("id") % every == 0)

@@ -133,6 +133,15 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_leave_their_equals_in(spark):
+    near, far = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5]
+    rows = [(1, near)] * 9 + [(i, near) for i in range(2, 9)] + [(50, near)] * 7 + [(100, far)] * 8 + [(101, far), (102, [3.0, -1.0, 2.0])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[50] == [1, 2, 3, 4, 5] and got[100][0] == 101 and set(got) == {50, 100}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(60, 33)), rng.normal(size=(70, 33)) ** 3
