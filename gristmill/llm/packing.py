@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences into rows of a fixed length.
 
-Documents become ids of a byte-level BPE plus an end id. Documents longer than a sequence are cut into
+Documents become ids of a byte-level BPE plus an end id; a text that spells an added token of the tokenizer file holds
+that token's id, as by ``tokenizers``. Documents longer than a sequence are cut into
 whole sequences from their end backwards, so only the first piece may be shorter.
 
 Bulk-synchronous best-fit-decreasing: pieces are ranked within their length, and the sweeps run over
@@ -46,6 +47,14 @@ def _byte_table() -> dict[str, int]:
     return table
 
 
+def _added_pattern(token: dict) -> str:
+    """Where a tokenizer file's added token stands in a text, with the spaces it takes in."""
+    body = f"({re.escape(token['content'])})"
+    if token.get("single_word"):
+        body = rf"(?<!\w){body}(?!\w)"
+    return (r"\s*" if token.get("lstrip") else "") + body + (r"\s*" if token.get("rstrip") else "")
+
+
 class Encoder:
     """Ids of texts by the byte-level BPE in a tokenizer file, with a bounded memory of pieces already encoded."""
 
@@ -54,14 +63,29 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"] for t in added}
+        self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
+        self.at_added = re.compile("|".join(map(_added_pattern, sorted(added, key=lambda t: -len(t["content"]))))) if added else None
         table = _byte_table()
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, the file's added tokens as their own ids wherever the text holds them."""
+        if self.at_added is None or not self.at_added.search(text):
+            return self.encode(text)
+        out, at = [], 0
+        for m in self.at_added.finditer(text):
+            out += [self.encode(text[at : m.start()]), self.added[m[m.lastindex]]]
+            at = m.end()
+        return b"".join([*out, self.encode(text[at:])])
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned 32-bit ids of text in which added tokens are ordinary text."""
+        if not text:
+            return b""
         parts = _SPLIT.split(text)
         known = self.known
         new = set(parts).difference(known)
@@ -98,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, end_id:
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py() or "") + end
+                ids = enc.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 starts = piece_starts(n, capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):

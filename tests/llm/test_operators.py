@@ -303,6 +303,20 @@ def test_encoder_equals_the_tokenizer_on_odd_spaces():
         assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path, pattern = tokenizer_file()
+    tok = Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    bits = [" ", "\n", "a", "Bé", "12", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "  ", "语"]
+    texts = ["<|endoftext|>", "one <|endoftext|> two", *("".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(300))]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [50256, 2]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, pattern).collect()
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in got} == {(d, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for d, ids in enumerate(want)}
+
+
 def test_plan_equals_sequential_best_fit():
     rng = np.random.default_rng(8)
     for capacity in (10, 64):
