@@ -3,7 +3,8 @@
 Built from DataFrame functions alone. Every line of a text that holds a cue word is a statement. Its terms
 (``[a-z0-9]+`` joined by single dots or hyphens) are weighted by count times inverse document frequency,
 the frequencies taken over all documents, and compared with each template; terms of no template weigh as if no document
-held them. The best template of at least ``threshold`` is the text's own licence. Only the frequencies of the
+held them. The best template of at least ``threshold`` is the text's own licence. A line with an SPDX identifier states its
+licence expression with a score of 1, whether or not there is a template of it. Only the frequencies of the
 templates' terms, a fixed list, go to the driver; scoring is a row-wise expression.
 
 A licence file is one with a licence file's name, or whose statement makes at least half of its terms. Its licence
@@ -46,6 +47,8 @@ TEMPLATES = [
 # fixed values: words of which a statement holds at least one
 CUES = ["apache", "bsd", "cc", "cc0", "copyright", "copyrighted", "domain", "gnu", "gpl", "lgpl", "licence", "license", "licensed", "licenses", "mit", "mozilla", "mpl", "reserved", "rights", "spdx"]
 FILE_NAMES = ["license", "licence", "copying", "unlicense", "notice"]
+_ID = "[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
+SPDX = rf"(?<![A-Za-z0-9])(?i:SPDX-License-Identifier)\s*:\s*(\(*{_ID}\)*(?:\s+(?:AND|OR|WITH)\s+\(*{_ID}\)*)*)"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -86,14 +89,20 @@ def best_template(line_terms: Column, weights: dict[str, float], unknown: float)
     return let(length_of, against)
 
 
+def spdx(line: Column) -> Column:
+    """The licence expression of a line's SPDX identifier in the templates' spelling, or an empty string."""
+    spelt = F.create_map(*[F.lit(x) for name, _ in TEMPLATES for x in (name.lower(), name)])
+    return let(F.regexp_extract(line, SPDX, 1), lambda found: F.coalesce(F.try_element_at(spelt, F.lower(found)), found))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, carry: list[str] | None = None) -> DataFrame:
     """The carried columns, path, own_license, score, license, license_from of every file."""
     weights, unknown = idf(files, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cue = rf"(?i)(?<![a-z0-9])(?:{'|'.join(CUES)})(?![a-z0-9])"
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(cue))
-    statements = F.transform(lines, terms)
-    ranked = F.array_min(F.transform(statements, lambda t: F.struct(best_template(t, weights, unknown).alias("b"), (-F.size(t)).alias("size"))))
+    stated = lambda line, t: let(spdx(line), lambda name: F.when(name != "", F.struct(F.lit(-1.0).alias("minus"), name.alias("name"))).otherwise(best_template(t, weights, unknown)))
+    ranked = F.array_min(F.transform(lines, lambda line: let(terms(line), lambda t: F.struct(stated(line, t).alias("b"), (-F.size(t)).alias("size")))))
     carried = carry or []
     base = files.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(path_col).alias("path"), ranked.alias("r"), F.when(F.size(lines) > 0, F.size(terms(text))).alias("n_terms"))
     base = base.withColumn("score", F.round(-F.col("r.b.minus"), 9)).withColumn("own_license", F.when(F.col("score") >= threshold, F.col("r.b.name")))

@@ -112,6 +112,16 @@ def test_license_scores(spark):
         assert best >= 0.6 and r["score"] == pytest.approx(best, abs=1e-8)
 
 
+def test_spdx_identifiers_state_their_licence(spark):
+    want = {
+        "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// spdx-license-identifier: mit": "MIT", "<!-- SPDX-License-Identifier: GPL-2.0-or-later -->": "GPL-2.0-or-later", "/* SPDX-License-Identifier: AGPL-3.0-only */": "AGPL-3.0-only",
+        " * SPDX-License-Identifier: (Apache-2.0 OR MIT)": "(Apache-2.0 OR MIT)", "SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 x": "GPL-2.0+ WITH Classpath-exception-2.0", "spdx is a list of licences": None, "SPDX-License-Identifier:": None,
+    }
+    files = [(f"{i}/x.py", line + "\nthon ereas\n") for i, line in enumerate(want)]
+    got = {r["path"]: (r["own_license"], r["score"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {path: (name, name and 1.0) for (path, _), name in zip(files, want.values())}
+
+
 # 5 neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
