@@ -24,7 +24,7 @@ def test_stages(spark, stages):
     counts = [spark.read.parquet(f"{d}/documents.parquet").count(), *[k.count() for k in kept]]
     assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] / 2
     assert packed.select("doc_id").distinct().count() == counts[-1]
-    from test_operators import leaks
+    from test_llm_operators import leaks
 
     bench = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
     before = {r["doc_id"]: r["text"] for r in kept[2].collect()}
