@@ -7,38 +7,50 @@ makes a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes are polynomials modulo the prime 2^31 - 1, in two lanes with bases of their own. (Modulo a power of two,
+#: long words of two letters collide whatever the base.)
+_PRIME, _SHIFT = np.uint64((1 << 31) - 1), np.uint64(31)
+_DRAW = np.random.default_rng(20240229)
+_BASES = [int(b) for b in _DRAW.integers(1 << 20, (1 << 31) - 2, 2)]
+_BYTES = _DRAW.integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse) modulo 2^64."""
-    key = "i" if inverse else "p"
-    have = _POWERS.get(key)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x in place of a smaller number with the same residue modulo 2^31 - 1; twice brings any 63 bits to 2^31 + 1 at most."""
+    high = x >> _SHIFT
+    x &= _PRIME
+    x += high
+    return x
+
+
+def powers(n: int, lane: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of a lane's base (or of its inverse) modulo 2^31 - 1, up to the prime itself."""
+    have = _POWERS.get((lane, inverse))
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        step = np.full(size, _INVERSE if inverse else _BASE, dtype=np.uint64)
-        step[0] = 1
-        have = _POWERS[key] = np.multiply.accumulate(step)
+        prime = int(_PRIME)
+        base = pow(_BASES[lane], -1, prime) if inverse else _BASES[lane]
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _fold(_fold(have * np.uint64(pow(base, len(have), prime))))])
+        _POWERS[lane, inverse] = have
     return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -58,7 +70,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of at most ``most`` bytes each, or of one row."""
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -68,24 +80,43 @@ def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         a = b
 
 
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
-    """n+1 prefix sums of the polynomial hash of the bytes."""
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[raw] * powers(len(raw)), out=sums[1:])
+def _sums(terms: Callable[[int], np.ndarray], n: int) -> np.ndarray:
+    """Two rows of n+1 prefix sums of value times power, unreduced: below 2^32 a term."""
+    sums = np.zeros((2, n + 1), dtype=np.uint64)
+    for lane in (0, 1):
+        np.cumsum(_fold(terms(lane) * powers(n, lane)), out=sums[lane, 1:])
     return sums
 
 
+def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash of the bytes, for ``span_hashes``."""
+    return _sums(lambda lane: _BYTES[lane][raw], len(raw))
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """n+1 prefix sums of the polynomial hash of 64-bit values, such as the hashes of words."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values)), out=sums[1:])
-    return sums
+    """Prefix sums of the polynomial hash of 64-bit values, such as the hashes of words; each lane takes 31 bits."""
+    return _sums(lambda lane: values >> np.uint64(33) if lane else values & _PRIME, len(values))
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of raw[start:end) for each span; equal spans have equal hashes wherever they stand."""
-    inverse = powers(len(sums), inverse=True)
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    lanes = [_lane(sums[k].take(end) - sums[k].take(start), powers(sums.shape[1], k, inverse=True).take(start)) for k in (0, 1)]
+    return mix((lanes[0] << np.uint64(32) | lanes[1]) + mix((end - start).astype(np.uint64)))
+
+
+def rolling_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of all spans of ``width``."""
+    n = max(sums.shape[1] - width, 0)
+    lanes = [_lane(sums[k, width:] - sums[k, :n], powers(sums.shape[1], k, inverse=True)[:n]) for k in (0, 1)]
+    return mix((lanes[0] << np.uint64(32) | lanes[1]) + mix(np.full(1, width, dtype=np.uint64)))
+
+
+def _lane(difference: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(difference))
+    x *= inverse
+    x = _fold(_fold(x))
+    x -= (x >= _PRIME) * _PRIME
+    return x
 
 
 @dataclass

@@ -47,7 +47,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, n
         return {k: np.zeros(0, dtype=np.int64) for k in names}
     sums = K.prefix_hashes(raw)
     at = np.arange(n - SEED_BYTES + 1)
-    seeds = K.span_hashes(sums, at, at + SEED_BYTES)
+    seeds = K.rolling_hashes(sums, SEED_BYTES)
     keys = (seeds >> _POS_BITS << _POS_BITS) | at.astype(np.uint64)
     least = K.sliding_min(keys, threshold - half + 1)
     lengths = np.diff(offsets)
@@ -84,7 +84,7 @@ def anchors_in_parts(raw: np.ndarray, offsets: np.ndarray, threshold: int, most:
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
 
 
-def _per_text(schema: list[tuple[str, pa.DataType]], run: Callable, most: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _per_text(schema: list[tuple[str, pa.DataType]], run: Callable, most: int = 1 << 19) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow body: run(raw, offsets, batch rows lo:hi) -> columns, slice by slice."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
         return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("rank_2", "rank_4", "block"))]
 
     schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("rank_2", "rank_4", "block"))]
-    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 21)), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
+    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
     for rank in ("rank_2", "rank_4"):  # the doubling rounds: unique ranks leave
         names = materialize(repeated(rows, rank), rank)
         kept = materialize(rows.join(names, rank).drop("rank_2"), "ranked")

@@ -147,6 +147,18 @@ def test_near_duplicate_chains_and_hot_groups(spark, monkeypatch):
     assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
+def test_long_words_of_two_letters_do_not_collide(spark):
+    """The 1,024-letter Thue-Morse word and its complement: equal under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, other), (3, " ".join([word, *"pqrstuvwxyzpq"])), (4, " ".join([other, *"pqrstuvwxyzpq"])), (5, "c" + word), (6, word + "c"), (7, "c" + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == components(rows, 85)
+    assert Counter(tuple(r) for r in substring_dedup.remove_seen(df).drop("kept").collect()) == seen_words(rows)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
