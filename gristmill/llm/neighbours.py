@@ -1,70 +1,91 @@
 """Nearest neighbours by a block matrix join on int8 tiles with error bounds.
 
-Vectors are scaled to unit length and quantised to int8, each with its own scale and its exact residual
-norm. A tile is one block of queries against one block of candidates; the integer product of a tile gives
-every cosine up to a bound from the residual norms. Pairs whose upper bound reaches the k-th best lower
-bound of their query survive, and only those are recomputed in double precision on the original vectors.
-Each tile passes on k pairs a query; these are merged by a ranked window with group limits, a heap merge
-that starts before the shuffle. Nothing is missed, so recall is 1.
+Vectors are scaled to unit length and quantised to int8 once, each with its own scale and its exact residual
+norm, and packed into blocks: ids, int8 values, scales and residuals of a few thousand vectors in one row. Blocks
+of queries meet blocks of candidates, and only these packed blocks are replicated. The integer product of a tile
+gives every cosine up to a bound from the residual norms; pairs whose upper bound reaches the k-th best lower bound
+of their query in the tile survive it. The bounds of all tiles merge in a heap of the k best lower bounds of each
+query, and the pairs that still reach the least of the heap, by then a few a query, are joined with the original
+vectors and computed in double precision. Nothing is missed, so recall is 1.
 
 Equal vectors give equal scores and ties go to the smaller id, so among equal vectors only the k + 1
 smallest ids can be among the k nearest (one may be the query's own); rows are made distinct first, the others stay out of the tiles,
 which takes away large groups of copies without a loss.
 
-Both sides are cut into blocks of bounded size; blocks, not rows, are replicated.
-
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null
-ids; vectors of different lengths are compared with their own length only; repeated rows with one id act
-as one row; an empty table yields no rows; extra columns are ignored.
+ids; vectors of different lengths are compared with their own length only; rows that repeat an id act as one row (the
+least of their vectors); an empty table yields no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import materialize
+
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE_QUERIES = 2048, 8192, 256
+_BLOCK = "dim int, block int, ids binary, quantised binary, scales binary, residuals binary"
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 values, scales and residual norms of the vectors scaled to unit length."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of tiny or huge components would leave the range
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1) / 127.0
     values = np.rint(unit / scale[:, None]).astype(np.int8)
     return values, scale, np.linalg.norm(unit - values * scale[:, None], axis=1)
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision, components added in order."""
-    total = lambda x: np.cumsum(x, axis=1)[:, -1]
-    return np.clip(total(a * b) / np.sqrt(total(a * a) * total(b * b)), -1.0, 1.0)
+def pack_block(rows: pa.Table) -> pa.Table:
+    """One row for the vectors of a block, quantised."""
+    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    values, scale, residual = quantise(flat.reshape(len(rows), -1))
+    binary = lambda x: pa.array([x.tobytes()], pa.binary())
+    ids = rows.column("id").to_numpy().astype(np.int64)
+    key = [rows.column(c).combine_chunks().slice(0, 1) for c in ("dim", "block")]
+    return pa.table([*key, binary(ids), binary(values), binary(scale), binary(residual)], names=["dim", "block", "ids", "quantised", "scales", "residuals"])
+
+
+def unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row[f"{side}_ids"], np.int64)
+    values = np.frombuffer(row[f"{side}_quantised"], np.int8).reshape(len(ids), -1)
+    return ids, values, np.frombuffer(row[f"{side}_scales"]), np.frombuffer(row[f"{side}_residuals"])
 
 
-def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, cosines) of each query's k nearest within one tile, and no fewer."""
-    cv, cs, ce = quantise(c)
-    cf = cv.astype(np.float32)  # products of int8 sum exactly in float32 up to 1,040 components
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(q), TILE_QUERIES):
-        part, ids = q[lo : lo + TILE_QUERIES], q_ids[lo : lo + TILE_QUERIES]
-        qv, qs, qe = quantise(part)
+def tile_bounds(queries: tuple, candidates: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, lower and upper bounds of the cosines) of the pairs of a tile that can be among the k nearest."""
+    c_ids, cv, cs, ce = candidates
+    cf = cv.astype(np.float32)  # products of int8 sum exactly in float32 up to 1,040 components; beyond, the bound covers the rounding
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(queries[0]), TILE_QUERIES):
+        ids, qv, qs, qe = (x[lo : lo + TILE_QUERIES] for x in queries)
         near = (qv.astype(np.float32) @ cf.T) * (qs[:, None] * cs[None, :]).astype(np.float32)
-        slack = (qe[:, None] + (1.0 + qe[:, None]) * ce[None, :] + 1e-5).astype(np.float32)
+        slack = (qe[:, None] + (1.0 + qe[:, None]) * ce[None, :] + 1e-5 + 1e-7 * cf.shape[1]).astype(np.float32)
         own = ids[:, None] == c_ids[None, :]
         low = np.where(own, -np.inf, near - slack)
-        kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(part), -np.inf)
+        kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(ids), -np.inf)
         i, j = np.nonzero((near + slack >= kth[:, None]) & ~own)
-        score = np.concatenate([cosine(part[i[a : a + 65536]], c[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-        order = np.lexsort((c_ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        best = rank < k
-        found.append((ids[i[best]], c_ids[j[best]], score[best]))
+        found.append((ids[i], c_ids[j], low[i, j].astype(np.float64), (near + slack)[i, j].astype(np.float64)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays in double precision, components added in order."""
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda m, n: m * n), F.lit(0.0), lambda acc, z: acc + z)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total(a, b) / F.sqrt(total(a, a) * total(b, b))))
+
+
+def blocks(rows: DataFrame, count: int) -> DataFrame:
+    """Packed blocks of rows (id, dim, v), dealt by a hash of the id."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    return dealt.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(pack_block, _BLOCK)
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by cosine of each row whose id is divisible by ``every``."""
     v = F.col("v")
@@ -72,24 +93,29 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     clean = clean.filter(
         F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
     )
-    clean = clean.distinct().withColumn("dim", F.size("v"))  # repeated rows would take the places of other ids below
+    clean = materialize(clean.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
     same = Window.partitionBy("v").orderBy("id")
     pool = clean.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r")
     asked = clean.filter(F.col("id") % every == 0)
     n_asked, n_pool = asked.count(), clean.count()
     qb, cb = max(1, -(-n_asked // QUERY_BLOCK)), max(1, -(-n_pool // CANDIDATE_BLOCK))
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qb))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    right = pool.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))))
-
-    def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        q, c = q.drop_duplicates("id"), c.drop_duplicates("id")
-        got = tile_nearest(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), c["id"].to_numpy(), np.stack(c["v"].to_numpy()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
-
-    keys = ["dim", "qb", "cb"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double")
+    sided = lambda df, side, other, n: df.select("dim", F.col("block").alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in ("ids", "quantised", "scales", "residuals")]).withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tiles = sided(blocks(asked, qb), "q", "c", cb).join(sided(blocks(pool, cb), "c", "q", qb), ["dim", "q_block", "c_block"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                got = tile_bounds(unpack(row, "q"), unpack(row, "c"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "low", "high"])
+
+    pairs = materialize(tiles.mapInArrow(bound, "query_id long, vec_id long, low double, high double"), "bounds")
+    # a heap of k lower bounds for each query: pushed on, the least leaves
+    best = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
+    heap = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("low")).alias("least"))
+    kept = pairs.join(heap, "query_id").filter(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "vec_id")
+    of = lambda name, out: clean.select(F.col("id").alias(name), F.col("v").alias(out))
+    exact = kept.join(of("query_id", "_q"), "query_id").join(of("vec_id", "_c"), "vec_id").select("query_id", "vec_id", cosine(F.col("_q"), F.col("_c")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
