@@ -29,6 +29,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Named statistics of a text, as double columns."""
     text = F.coalesce(text, F.lit(""))
     kept = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
+    of = lambda some: (F.length(text) - F.length(F.translate(text, some, ""))).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     words = F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
     lines = F.split(text, "\n")
@@ -41,9 +42,9 @@ def statistics(text: Column) -> dict[str, Column]:
         "words_a_line": F.size(words) / F.size(lines).cast("double"),
         "symbols": kept(r"[\p{L}\p{N}\s.,]") / chars,
         "upper": kept(r"[^\p{Lu}]") / chars,
-        "digits": kept(r"[^0-9]") / chars,
-        "stops": kept(r"[^.]") / chars,
-        "commas": kept(r"[^,]") / chars,
+        "digits": of("0123456789") / chars,
+        "stops": of(".") / chars,
+        "commas": of(",") / chars,
     }
 
 
@@ -158,8 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
     usable = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select(F.col("doc_id"), F.col(target).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample_rows)
     stats = statistics(F.col("text").cast("string"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("_y", *[c.alias(k) for k, c in stats.items()])
-    got = np.array(rows.toPandas(), dtype=float).reshape(-1, len(stats) + 1)  # bounded by sample_rows
+    # `chosen` is bounded, so the texts stay where they are; rows that repeat an id count once
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", F.struct(*[c.alias(k) for k, c in stats.items()]).alias("_x"))
+    rows = rows.groupBy("doc_id", "_y").agg(F.min("_x").alias("_x")).select("_y", "_x.*")
+    got = np.array(rows.toPandas(), dtype=float).reshape(-1, len(stats) + 1)  # at most sample_rows rows
     got = got[np.lexsort(got.T[::-1])]  # any order of arrival gives the same model
     return fit(got[:, 1:], got[:, 0], list(stats))
 
