@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,10 @@ IMPLIED = {
 }
 _KNOWN = CLOSES_P | INLINE | VOID | RAW | HELD | {*IMPLIED, "html", "head", "body", "thead", "caption"}
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z))", re.S)
+_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Elements nest no deeper: the innermost ends where another opens, as in browsers, so a page takes linear time.
+MOST_DEPTH = 512
 _SPACE = re.compile(r"\s+")
 _HINT_SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -94,6 +97,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     held: list[tuple] = []  # open form controls and media: place in the stack, and what to return to at their end tag
     current, pending, link = 0, [], 0
     at, n = 0, len(page)
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def flush() -> None:
         nonlocal pending
@@ -104,12 +108,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[current].own += len(text)
             pending = []
 
+    def enter(tag: str) -> None:
+        if len(stack) >= MOST_DEPTH:
+            pop_to(MOST_DEPTH - 1)
+        stack.append((tag, current))
+        opened[tag] += 1
+
+    def shut(i: int) -> None:
+        nonlocal link
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+            link -= t == "a"
+        del stack[i:]
+
     def pop_to(i: int) -> None:
-        nonlocal current, link
+        nonlocal current
         if any(t not in INLINE for t, _ in stack[i:]):
             flush()
-        link -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
+        shut(i)
         while held and held[-1][0] >= i:
             held.pop()
         current = stack[-1][1] if stack else 0
@@ -121,8 +137,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 pop_to(i)
             elif stack[i][0] in scope:
                 break
+        if len(stack) >= MOST_DEPTH:
+            pop_to(MOST_DEPTH - 1)
         held.append((len(stack), current, pending, len(pending), len(blocks), len(nodes), nodes[current].own, nodes[current].links, link))
-        stack.append((tag, current))
+        enter(tag)
 
     def let_go(i: int) -> None:
         """Drop what the element at i of the stack held; one around an article was left open by mistake and is kept."""
@@ -131,8 +149,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if any(x.tag in ("article", "main", "body") for x in nodes[mark[5] :]):
             pop_to(i)
             return
-        _, current, pending, said, n_blocks, n_nodes, nodes[current].own, nodes[current].links, link = mark
-        del pending[said:], blocks[n_blocks:], nodes[n_nodes:], stack[i:]
+        shut(i)
+        _, current, pending, said, n_blocks, n_nodes, own, links, link = mark
+        nodes[current].own, nodes[current].links = own, links
+        del pending[said:], blocks[n_blocks:], nodes[n_nodes:]
         while held and held[-1][0] >= i:
             held.pop()
 
@@ -153,8 +173,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             tag = m["open"].lower()
             attrs = m["attrs"] or ""
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
                 if not attrs.rstrip().endswith("/"):
+                    end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else n
                 continue
             if tag in HELD:
@@ -170,9 +190,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     pending.append(" " if tag == "br" else "")
                 continue
             if tag in INLINE:
-                if tag == "a":
-                    link += 1
-                stack.append((tag, current))
+                enter(tag)
+                link += tag == "a"
                 continue
             kinds, scope = IMPLIED.get(tag, ((), ()))
             if tag in CLOSES_P or tag in IMPLIED:
@@ -195,11 +214,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             label = found.get("data-label")
             if "hidden" in found or "display:none" in found.get("style", "").replace(" ", ""):
                 hints = (*hints, "notice")
+            if len(stack) >= MOST_DEPTH:
+                pop_to(MOST_DEPTH - 1)
             nodes.append(Node(tag, current, hints, label, nodes[current].depth + 1))
             current = len(nodes) - 1
-            stack.append((tag, current))
+            enter(tag)
         elif m["close"]:
             tag = m["close"].lower()
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag in HELD:
