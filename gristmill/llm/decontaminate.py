@@ -3,21 +3,20 @@
 Built from DataFrame functions alone. Words are split at white space and A-Z lower-cased; shingles are runs of
 five words (an item of fewer words is one shingle of its own length).
 
-1. Seeds: a window can only reach the similarity if it shares a shingle with the item, so shingles of the
-   documents are joined with those of the items. Every item-sized window with a seed inside is a candidate, wherever
-   the seed stands in it; those with fewer seeds than the similarity takes are left out by count, which loses
-   nothing. Item shingles are broadcast only below ``broadcast_rows``, beyond that the join shuffles.
-2. SimHash: each such window gets the 64-bit SimHash of its shingles, each weighted by its count.
+1. Windows: for each size of an item, every window of that many words that can reach the similarity to any item of the
+   size, wherever it starts. A window without enough shingles of the benchmark in it cannot, by count, whichever item
+   it is held against; only these are left out, which loses nothing, and no item is chosen here. Benchmark shingles
+   are broadcast only below ``broadcast_rows``, beyond that the join shuffles.
+2. SimHash: each window gets the 64-bit SimHash of its shingles, each weighted by its count.
 3. Multi-index: fingerprints are cut into 8 blocks of 8 bits. Two fingerprints within 23 bits agree in some block
-   up to 2 bits, so items are listed under all block values within 2 bits and windows look up their own: no
-   fingerprint within the radius is missed.
+   up to 2 bits, so items are listed under all block values within 2 bits and windows look up their own: every item of
+   the window's size whose fingerprint is within the radius is found, and the items found are the only candidates.
 4. Verification: multiset (count-weighted) Jaccard similarity of the shingles, exactly, at least 0.8.
 
-Only documents with seeds are read again for their windows. Hot items or passages cost a row a document.
+Only documents with windows are read again for their shingles. Hot items or passages cost a row a document.
 
 Defined cases: null or empty texts match nothing, nor do empty items; repeated items or documents report each id
-once; ties between windows of a pair go to the more similar, then to one with a shingle at its place in the item, then
-the earlier one; extra columns are ignored.
+once; ties between windows of a pair go to the more similar, then to the earlier one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,30 +115,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, br
     for size in sizes:
         own = items.filter(F.col("s") == size).withColumn("g", shingle_hashes(F.col("w"), size)).withColumn("print", simhash(F.col("g")))
         own = materialize(own.select("item_id", "n", "g", "print"), "items")
-        listed = own.select("item_id", "n", F.explode(F.array_distinct("g")).alias("h"))
-        if listed.count() <= broadcast_rows:
-            listed = F.broadcast(listed)
+        vocabulary = own.select("n", F.explode("g").alias("h")).distinct()
+        if vocabulary.count() <= broadcast_rows:
+            vocabulary = F.broadcast(vocabulary)
         # texts stay below the generator, which would copy them for every shingle; the outer form infers no filter that spells them again
         spelt = source.select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w")).select("doc_id", "th", F.size("w").alias("words"), shingle_hashes(F.col("w"), size).alias("g"))
-        hits = spelt.select("doc_id", "th", "words", F.posexplode_outer("g").alias("at", "h")).join(listed, "h")
-        seeds = hits.groupBy("doc_id", "th", "words", "item_id", "n").agg(F.sort_array(F.collect_set("at")).alias("seeds"))
-        starts = seeds.select("doc_id", "th", "item_id", "n", window_starts(F.col("seeds"), F.col("words"), F.col("n"), size, threshold).alias("starts")).filter("size(starts) > 0")
+        hits = spelt.select("doc_id", "th", "words", F.posexplode_outer("g").alias("at", "h")).join(vocabulary, "h")
+        seeds = hits.groupBy("doc_id", "th", "words", "n").agg(F.sort_array(F.collect_set("at")).alias("seeds"))
+        starts = seeds.select("doc_id", "th", "n", window_starts(F.col("seeds"), F.col("words"), F.col("n"), size, threshold).alias("starts")).filter("size(starts) > 0")
         starts = materialize(starts, "starts")
-        asked = starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.transform("starts", lambda st: F.struct("item_id", "n", st.alias("start"))))).alias("asked"))
+        asked = starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.transform("starts", lambda st: F.struct("n", st.alias("start"))))).alias("asked"))
         texts = source.withColumn("th", F.xxhash64("text")).join(asked, ["doc_id", "th"])
-        window = lambda a, g: F.struct(a["item_id"].alias("item_id"), a["start"].alias("start"), F.slice(g, a["start"] + 1, F.greatest(a["n"] - (size - 1), F.lit(1))).alias("wg"))
+        window = lambda a, g: F.struct(a["n"].alias("n"), a["start"].alias("start"), F.slice(g, a["start"] + 1, F.greatest(a["n"] - (size - 1), F.lit(1))).alias("wg"))
         cut = let(shingle_hashes(word_hashes(F.col("text")), size), lambda g: F.transform("asked", lambda a: window(a, g)))
-        windows = texts.select("doc_id", cut.alias("cut")).select("doc_id", F.explode_outer("cut").alias("c")).select("doc_id", "c.item_id", "c.start", "c.wg")
+        windows = texts.select("doc_id", "th", cut.alias("cut")).select("doc_id", "th", F.explode_outer("cut").alias("c")).select("doc_id", "th", "c.n", "c.start", "c.wg")
         windows = materialize(windows.withColumn("wprint", simhash(F.col("wg"))), "windows")
         values = F.explode(F.flatten(F.transform(block_values(F.col("print")), lambda b: F.transform(F.array(*[F.lit(m) for m in masks()]), lambda m: F.struct(b["block"].alias("block"), b["value"].bitwiseXOR(m).alias("value")))))).alias("k")
-        index = own.select("item_id", values).select("item_id", "k.block", "k.value")
-        probes = windows.select("doc_id", "item_id", "start", F.explode(block_values(F.col("wprint"))).alias("k")).select("doc_id", "item_id", "start", "k.block", "k.value")
-        near = probes.join(index, ["item_id", "block", "value"]).select("doc_id", "item_id", "start").distinct()
-        checked = windows.join(near, ["doc_id", "item_id", "start"]).join(own, "item_id")
-        checked = checked.withColumn("hamming", F.bit_count(F.col("wprint").bitwiseXOR(F.col("print")))).filter(F.col("hamming") <= RADIUS)
+        index = own.select("item_id", "n", "print", values).select("item_id", "n", "print", "k.block", "k.value")
+        if own.count() * BLOCKS * len(masks()) <= broadcast_rows:
+            index, own = F.broadcast(index), F.broadcast(own)
+        distance = F.bit_count(F.col("wprint").bitwiseXOR(F.col("print")))
+        probes = windows.select("doc_id", "th", "n", "start", "wprint", F.explode(block_values(F.col("wprint"))).alias("k")).select("doc_id", "th", "n", "start", "wprint", "k.block", "k.value")
+        near = probes.join(index, ["n", "block", "value"]).withColumn("hamming", distance).filter(F.col("hamming") <= RADIUS).select("doc_id", "th", "n", "start", "item_id", "hamming").distinct()
+        checked = windows.join(near, ["doc_id", "th", "n", "start"]).join(own.drop("print"), ["item_id", "n"])
         checked = checked.withColumn("similarity", similarity(F.col("wg"), F.col("g"))).filter(F.col("similarity") >= threshold)
-        checked = checked.withColumn("moved", ~F.exists(F.zip_with("wg", "g", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
-        best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("moved"), F.col("start"), F.col("n"), F.col("hamming"))).alias("b"))
+        best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"), F.col("n"), F.col("hamming"))).alias("b"))
         best = best.select("doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.s")).alias("similarity"))
         found = best if found is None else found.unionByName(best)
     if found is None:

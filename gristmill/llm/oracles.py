@@ -15,7 +15,7 @@ bs AS (SELECT item_id, n, s, o, array_to_string(w[o + 1 : o + s], ' ') AS g FROM
 sizes AS (SELECT DISTINCT s FROM b),
 dg AS (SELECT doc_id, s, w, unnest(range(0, len(w) - s + 1)) AS p FROM d, sizes WHERE len(w) >= s),
 ds AS (SELECT doc_id, s, p, len(w) AS m, array_to_string(w[p + 1 : p + s], ' ') AS g FROM dg),
-starts AS (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, bs.s, greatest(0, least(ds.p - bs.o, ds.m - bs.n)) AS st FROM ds JOIN bs USING (s, g)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, s, unnest(range(greatest(0, p - (n - s)), least(p, greatest(0, m - n)) + 1)) AS st FROM (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, bs.s, ds.p, ds.m FROM ds JOIN bs USING (s, g)) x),
 wc AS (SELECT t.doc_id, t.item_id, t.n, t.s, t.st, ds.g, count(*) AS c FROM starts t JOIN ds ON ds.doc_id = t.doc_id AND ds.s = t.s AND ds.p BETWEEN t.st AND t.st + t.n - t.s GROUP BY ALL),
 bc AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
 size_of AS (SELECT item_id, sum(c) AS total FROM bc GROUP BY item_id),
