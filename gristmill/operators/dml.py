@@ -78,64 +78,123 @@ def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (),
     if row_limit is not None and got["n"] > row_limit:
         raise ConstraintViolation(f"more than {row_limit} rows")
     for key in unique:
-        if not df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        if not df.groupBy(*[F.expr(k) for k in key]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             raise ConstraintViolation(f"repeated key {key}")
 
 
+class ConcurrentUpdate(RuntimeError):
+    """Another writer published a version since this one read the table."""
+
+
 class VersionedTable:
-    """A table as immutable parts and a pointer file that names the current ones.
+    """A table as immutable parts and numbered pointer files, the highest of which names the current parts.
 
     A rewrite publishes one new part in place of all; an append adds a part and rewrites nothing. A part may be
-    named, so that a batch that is tried again is added once.
+    named, so that a batch that is tried again is added once. A version is published by creating its pointer file, which
+    must not be there yet: two writers cannot both take a number, so no update is lost, and nothing is ever
+    deleted first, so a crash at any step leaves the last version in place. A pointer without its closing line was left by
+    a crash and is passed over.
     """
 
+    _END = "end of pointer"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._base: int | None = None
 
     def _fs(self, path: str) -> tuple:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(conf), at
 
+    def _names(self) -> list[str]:
+        fs, at = self._fs(self.path)
+        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _numbers(self) -> list[int]:
+        return sorted((int(n[8:]) for n in self._names() if n.startswith("POINTER-")), reverse=True)
+
+    def _listed(self, number: int) -> list[str] | None:
+        lines = [r[0] for r in self.spark.read.text(f"{self.path}/POINTER-{number:012d}").collect()]  # a line for each part
+        return lines[:-1] if lines and lines[-1] == self._END else None
+
+    def current(self) -> tuple[int, list[str]]:
+        """Number and parts of the current version; (0, []) before the first."""
+        for number in self._numbers():
+            parts = self._listed(number)
+            if parts is not None:
+                return number, parts
+        return 0, []
+
     def parts(self) -> list[str]:
         """Names of the current parts; none before the first publication."""
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(at):
-            return []
-        return [r[0] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()]  # a line for each part
+        return self.current()[1]
 
     def exists(self) -> bool:
         return bool(self.parts())
 
     def read(self) -> DataFrame:
-        parts = self.parts()
+        self._base, parts = self.current()
         if not parts:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
 
-    def _point(self, parts: list[str]) -> None:
-        fs, at = self._fs(f"{self.path}/NEXT-{uuid.uuid4().hex}")
-        out = fs.create(at, True)
-        out.write(bytearray("\n".join(parts).encode()))
+    def _point(self, base: int, parts: list[str]) -> int:
+        """Publish parts as the successor of a version; ConcurrentUpdate if there is one already."""
+        taken = self._numbers()
+        number = max([base, *taken]) + 1
+        if any(n > base and self._listed(n) is not None for n in taken):
+            raise ConcurrentUpdate(f"{self.path} has a version after {base}")
+        fs, at = self._fs(f"{self.path}/POINTER-{number:012d}")
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            raise ConcurrentUpdate(f"{self.path} has a version after {base}") from e
+        out.write(bytearray("\n".join([*parts, self._END]).encode()))
         out.close()
-        target = self._fs(f"{self.path}/CURRENT")[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(at, target)
+        return number
 
     def publish(self, df: DataFrame, **constraints: object) -> None:
-        """Replace the table: write a new part, check it, and only then point to it."""
+        """Replace the table: write a new part, check it, and only then point to it.
+
+        The new version follows the one last read through this object; if another writer came between, it is refused.
+        """
         part = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{part}")
         if constraints:
             check(self.spark.read.parquet(f"{self.path}/{part}"), **constraints)
-        self._point([part])
+        self._base = self._point(self.current()[0] if self._base is None else self._base, [part])
 
     def append(self, df: DataFrame, name: str | None = None) -> bool:
-        """Add a part; False if a part of that name is there already."""
-        have, part = self.parts(), name or f"v-{uuid.uuid4().hex}"
+        """Add a part; False if a part of that name is there already. Appends of several writers all count."""
+        part = name or f"v-{uuid.uuid4().hex}"
+        base, have = self.current()
         if part in have:
             return False
         df.write.mode("overwrite").parquet(f"{self.path}/{part}")  # what a failed try left behind goes
-        self._point([*have, part])
-        return True
+        while True:
+            try:
+                self._base = self._point(base, [*have, part])
+                return True
+            except ConcurrentUpdate:
+                base, have = self.current()
+                if part in have:
+                    return False
+
+    def compact(self) -> None:
+        """Write the parts of a table that has grown by appends as one."""
+        self.publish(self.read())
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove the versions before the last ``keep`` and the parts that only they name."""
+        numbers = self._numbers()
+        kept = {p for n in numbers[:keep] for p in self._listed(n) or []}
+        gone = [f"POINTER-{n:012d}" for n in numbers[keep:]]
+        named = {p for n in numbers[keep:] for p in self._listed(n) or []}
+        for name in [*gone, *sorted(named - kept)]:
+            fs, at = self._fs(f"{self.path}/{name}")
+            fs.delete(at, True)
+
+    def drop(self) -> None:
+        fs, at = self._fs(self.path)
+        fs.delete(at, True)

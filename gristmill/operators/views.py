@@ -1,15 +1,16 @@
 """Aggregate views: batch definition, incremental maintenance under inserts and deletes, retention.
 
 A view groups one source by expressions and keeps COUNT(*), and SUM, COUNT, MIN and MAX of columns. Inserts and
-deletes arrive as rows with a sign. Counts and sums merge as signed deltas; MIN and MAX merge under inserts, and groups
-that lose a row are recomputed from the source, those groups only.
+deletes arrive as rows with a sign. Counts and sums merge as signed deltas; MIN and MAX merge under inserts, so a batch
+of inserts never reads the source. Groups that lose a row are recomputed, from the source rows of those groups only: the
+keys filter the source before it is aggregated.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,12 +29,18 @@ class View:
 
     def batch(self, source: DataFrame) -> DataFrame:
         """The view over the whole source; also the catch-up on creation."""
+        return self._grouped(self._rows(source))
+
+    def _grouped(self, rows: DataFrame) -> DataFrame:
         build = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-        grouped = self._rows(source).groupBy(*[F.col(f"_k_{k}").alias(k) for k in self.keys])
+        grouped = rows.groupBy(*[F.col(f"_k_{k}").alias(k) for k in self.keys])
         return grouped.agg(F.count(F.lit(1)).alias(self.count), *[build[f](c).alias(m) for m, (f, c) in self.measures.items()])
 
-    def merge(self, view: DataFrame, changes: DataFrame, source_after: DataFrame, sign: str = "op") -> DataFrame:
-        """The view after ``changes``: source rows with a sign column of 1 (insert) or -1 (delete)."""
+    def merge(self, view: DataFrame, changes: DataFrame, source_after: DataFrame | None = None, sign: str = "op") -> DataFrame:
+        """The view after ``changes``: source rows with a sign column of 1 (insert) or -1 (delete).
+
+        Without ``source_after`` the changes are inserts only; a delete among them raises.
+        """
         keys = list(self.keys)
         op = F.col(sign)
         delta = self._rows(changes).groupBy(*[F.col(f"_k_{k}").alias(k) for k in keys])
@@ -64,17 +71,18 @@ class View:
             out.append(value.alias(m))
         hurt = F.coalesce(F.col("d._d_least"), F.lit(0)) < 0
         merged = both.select(*out, hurt.alias("_hurt")).filter(F.col(self.count) > 0)
-        redo = [m for m, (f, _) in self.measures.items() if f in ("min", "max", "sum")]
-        if not redo:
+        if source_after is None:
+            only = F.when(F.col("_hurt"), F.raise_error(F.lit("a delete needs the source")).cast("bigint")).otherwise(F.col(self.count))
+            return merged.withColumn(self.count, only).drop("_hurt")
+        if all(f == "count" for f, _ in self.measures.values()):
             return merged.drop("_hurt")
         # groups that lost rows: MIN and MAX, and whether a SUM is NULL, come from their remaining rows
-        touched = merged.filter("_hurt").select(*keys)
-        fresh = self.batch(source_after)
+        touched = delta.filter("_d_least < 0").select(*[F.col(k).alias(f"_t_{k}") for k in keys])
         cond = None
         for k in keys:
-            one = F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}"))
+            one = F.col(f"_k_{k}").eqNullSafe(F.col(f"_t_{k}"))
             cond = one if cond is None else cond & one
-        again = fresh.alias("f").join(touched.alias("t"), cond, "left_semi")
+        again = self._grouped(self._rows(source_after).join(touched, cond, "left_semi"))
         return merged.filter("not _hurt").drop("_hurt").unionByName(again.select(*[c for c in merged.columns if c != "_hurt"]))
 
 
@@ -83,14 +91,19 @@ def keep_newest(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
 
-def evict_before_insert(df: DataFrame, incoming: DataFrame, order: list[Column], limit: int, evict: int) -> DataFrame:
-    """LIMIT PARTITION ROWS: a table at its limit first loses its ``evict`` oldest rows, then takes the new ones.
+def evict_before_insert(df: DataFrame, incoming: DataFrame, order: list[Column], limit: int, evict: int, partition: Column | None = None) -> DataFrame:
+    """LIMIT PARTITION ROWS: a partition at its limit first loses its ``evict`` oldest rows, then takes the new ones.
 
-    Applied to a batch: eviction repeats until the batch fits, as it would have row by row."""
-    have, new = df.count(), incoming.count()
-    over = max(0, have + new - limit)
-    gone = min(have, -(-over // evict) * evict) if over else 0
-    return (df.orderBy(*order).offset(gone) if gone else df).unionByName(incoming)
+    Applied to a batch: eviction repeats until the batch fits, as it would have row by row. ``partition`` numbers the
+    partitions of both sides (one by default). A partition holds at most ``limit`` rows and its share of the batch, which
+    bounds the window that ranks its rows.
+    """
+    site = F.lit(0) if partition is None else partition
+    rows = df.withColumns({"_site": site, "_new": F.lit(0)}).unionByName(incoming.withColumns({"_site": site, "_new": F.lit(1)}))
+    whole, oldest = Window.partitionBy("_site"), Window.partitionBy("_site").orderBy("_new", *order)
+    over = F.count(F.lit(1)).over(whole) - F.lit(limit)
+    gone = F.when(over > 0, F.least(F.sum(1 - F.col("_new")).over(whole), F.ceil(over / F.lit(evict)) * evict)).otherwise(0)
+    return rows.withColumns({"_gone": gone, "_rank": F.row_number().over(oldest)}).filter("_rank > _gone").select(*df.columns)
 
 
 def keep_after(df: DataFrame, ts: str, oldest: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.plans import catalogue_functions, catalogue_state
+from gristmill.plans import catalogue_engine, catalogue_functions, catalogue_state
 from gristmill.tables import TABLES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,7 @@ same("cast_types", "SELECT p_partkey, CAST(p_size AS BIGINT) AS size_big, CAST(p
 same("values_rows", "SELECT a, b, c FROM (VALUES (1, 'x', 1.5), (2, NULL, 2.5), (CAST(NULL AS INT), 'z', NULL)) AS v(a, b, c)")
 same("count_star", "SELECT count(*) AS n FROM lineitem")
 same("count_subquery", "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 50000) AS s")
-same("index_scan_order", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 4000 AND o_custkey > 10 ORDER BY o_orderkey DESC LIMIT 50")
+same("index_scan_order", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 4000 AND o_custkey > 10 ORDER BY o_orderkey DESC")
 same("out_of_range_key", "SELECT count(*) AS n FROM region WHERE CAST(r_regionkey AS SMALLINT) < 100000 AND CAST(r_regionkey AS SMALLINT) > -100000")
 
 # joins
@@ -94,7 +94,7 @@ same("min_max_by_key", "SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM
 # sorts and limits
 same("order_multi_key", "SELECT o_orderstatus, o_custkey, o_orderkey FROM orders ORDER BY o_orderstatus DESC, o_custkey ASC, o_orderkey DESC")
 same("order_expr_ordinal", "SELECT p_partkey, p_size % 10 AS m FROM part ORDER BY 2 DESC, p_retailprice * 2, 1")
-same("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 100")
+same("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey")
 same("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 same("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25 OFFSET 10")
 
@@ -104,7 +104,7 @@ for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect",
     same(_name, f"{_A} {_op} {_B}")
 same("setop_nested", f"({_A} EXCEPT {_C}) UNION ALL ({_B} INTERSECT ({_C} UNION {_A}))")
 same("setop_nulls", "SELECT nullif(o_orderstatus, 'F') AS s FROM orders EXCEPT ALL SELECT nullif(l_linestatus, 'F') FROM lineitem WHERE l_linenumber = 1")
-same("derived_table_depth", "SELECT k, n FROM (SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) x GROUP BY o_custkey) y WHERE n > 2) z WHERE k < 500")
+same("derived_table_depth", "SELECT k, n FROM (SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) x GROUP BY o_custkey) y WHERE n > 2) z")
 
 # procedures of the example applications, on the driver tables
 same("proc_winning_states", "SELECT n_nationkey, c_mktsegment, num FROM (SELECT c_nationkey, c_mktsegment, count(*) AS num FROM customer GROUP BY c_nationkey, c_mktsegment) v JOIN nation ON n_nationkey = c_nationkey ORDER BY n_nationkey, num DESC, c_mktsegment")
@@ -124,5 +124,5 @@ def proc_voter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["proc_voter_results"] = proc_voter_results
 ORACLE_SQL["proc_voter_results"] = f"SELECT c_mktsegment, count(*) AS n_orders, {MONEY.format('o_totalprice')} AS total_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
 
-QUERIES |= catalogue_functions.QUERIES | catalogue_state.QUERIES
-ORACLE_SQL |= catalogue_functions.ORACLE_SQL | catalogue_state.ORACLE_SQL
+QUERIES |= catalogue_functions.QUERIES | catalogue_state.QUERIES | catalogue_engine.QUERIES
+ORACLE_SQL |= catalogue_functions.ORACLE_SQL | catalogue_state.ORACLE_SQL | catalogue_engine.ORACLE_SQL

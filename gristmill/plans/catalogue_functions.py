@@ -100,9 +100,15 @@ project("fn_decode", "orders", ORDERS, {"v": (lambda: logic.decode(F.nullif(C("o
 project("fn_sql_error_passes", "orders", ORDERS, {"v": (lambda: logic.sql_error(1, "never", C("o_orderkey") < 0), "CAST(0 AS BIGINT)")})
 
 
-@entry("fn_now", None)
+@entry("fn_now", "SELECT r_regionkey, now() > TIMESTAMP '2000-01-01 00:00:00' AS later, true AS on_the_clock, 1 AS readings FROM region")
 def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select("r_regionkey", (dates.now() > F.lit("2000-01-01").cast("timestamp")).alias("later"))
+    """One reading a statement, within a minute of the client's clock."""
+    import time
+
+    seconds = dates.since_epoch("SECOND", dates.now())
+    region = table(spark, sf_dir, "region").select("r_regionkey", dates.now().alias("at"), (F.abs(seconds - F.lit(int(time.time()))) < 600).alias("on_the_clock"))
+    readings = region.select(F.count_distinct("at").cast("int").alias("readings"))
+    return region.join(F.broadcast(readings)).select("r_regionkey", (F.col("at") > F.lit("2000-01-01").cast("timestamp")).alias("later"), "on_the_clock", "readings")
 
 
 @entry("avg_integer_truncates", "SELECT o_orderstatus, CAST(sum(o_custkey - 40) AS BIGINT) // count(*) AS v FROM orders GROUP BY o_orderstatus")
@@ -158,6 +164,32 @@ for _kind, _hint in (("nested_loop", "broadcast"), ("hash", "shuffle_hash"), ("i
         return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
-@entry("hash_range", None)
+_M = "4294967295"  # arithmetic modulo 2^32
+_ROTL = lambda x, r: f"((({x}) << {r}) & {_M} | (({x}) >> {32 - r}))"
+_MUL = lambda x, y: f"((({x}) * CAST({y} AS UBIGINT)) & {_M})"
+
+
+def _murmur3_sql(key: str, rows: str) -> str:
+    """A key and the Murmur3 hash (32 bits, seed 42) of its 64-bit value, as rows (k, h)."""
+    steps = [f"s0 AS (SELECT {key} AS k, CAST({key} AS UBIGINT) & {_M} AS lo, CAST({key} AS UBIGINT) >> 32 AS hi, CAST(42 AS UBIGINT) AS h FROM {rows})"]
+    at = 0
+
+    def step(h: str) -> None:
+        nonlocal at
+        steps.append(f"s{at + 1} AS (SELECT k, lo, hi, CAST({h} AS UBIGINT) AS h FROM s{at})")
+        at += 1
+
+    for word in ("lo", "hi"):
+        mixed = _MUL(_ROTL(_MUL(word, 3432918353), 15), 461845907)
+        step(f"xor(h, {mixed})")
+        step(f"({_MUL(_ROTL('h', 13), 5)} + 3864292196) & {_M}")
+    step("xor(h, CAST(8 AS UBIGINT))")
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        step(_MUL(f"xor(h, h >> {shift})", factor))
+    step("xor(h, h >> 16)")
+    return f"WITH {', '.join(steps)} SELECT k, CAST(CASE WHEN h >= 2147483648 THEN CAST(h AS BIGINT) - 4294967296 ELSE CAST(h AS BIGINT) END AS BIGINT) AS h FROM s{at}"
+
+
+@entry("hash_range", f"SELECT k AS c_custkey FROM ({_murmur3_sql('c_custkey', 'customer')}) WHERE h BETWEEN -2147483648 AND 0")
 def _hash_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.key_hash_range(table(spark, sf_dir, "customer"), "c_custkey", -(2**31), 0).select("c_custkey")
+    return relational.key_hash_range(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint")), "c_custkey", -(2**31), 0).select("c_custkey")

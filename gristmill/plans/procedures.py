@@ -89,8 +89,13 @@ class Engine:
         now = time.time()
         return self.procedures[name](Context(self.spark, int(now * 1000) if seed is None else seed, now), *args, **named)
 
-    def crud(self, name: str, table: dml.VersionedTable, key: list[str]) -> None:
-        """<name>.insert, .upsert, .update, .delete and .select over a table with a key."""
+    def crud(self, name: str, table: dml.VersionedTable, key: list[str], after: Callable[[], object] | None = None) -> None:
+        """<name>.insert, .upsert, .update, .delete and .select over a table with a key; ``after`` runs once a change is out."""
+
+        def publish(df: DataFrame, **constraints: object) -> None:
+            table.publish(df, **constraints)
+            if after is not None:
+                after()
 
         def rows(values: tuple) -> DataFrame:
             return self.spark.createDataFrame([values], table.read().schema)
@@ -102,18 +107,18 @@ class Engine:
             return cond
 
         def insert(_: Context, *values: object) -> None:
-            table.publish(dml.insert(table.read(), rows(values)), unique=[key])
+            publish(dml.insert(table.read(), rows(values)), unique=[key])
 
         def upsert(_: Context, *values: object) -> None:
-            table.publish(dml.upsert(table.read(), rows(values), key))
+            publish(dml.upsert(table.read(), rows(values), key))
 
         def update(_: Context, *values: object) -> None:
             columns = table.read().columns
             changes = {c: F.lit(v) for c, v in zip(columns, values) if c not in key}
-            table.publish(dml.update(table.read(), matches(values[len(columns) :]), changes))
+            publish(dml.update(table.read(), matches(values[len(columns) :]), changes))
 
         def delete(_: Context, *values: object) -> None:
-            table.publish(dml.delete(table.read(), matches(values)))
+            publish(dml.delete(table.read(), matches(values)))
 
         def select(_: Context, *values: object) -> DataFrame:
             return table.read().filter(matches(values))

@@ -16,7 +16,9 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int
 
 
 def maintain_view(stream: DataFrame, view: View, source: VersionedTable, target: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Ingest a stream: append each batch to the source table and merge its delta into the view."""
+    """Ingest a stream: append each batch to the source table and merge its delta into the view.
+
+    A batch is of inserts, so its merge reads the view and the batch alone. Old versions of the view go."""
 
     def step(batch: DataFrame, number: int) -> None:
         changes = batch.withColumn("op", F.lit(1)).persist()
@@ -25,9 +27,11 @@ def maintain_view(stream: DataFrame, view: View, source: VersionedTable, target:
         if not had_view:
             target.publish(view.batch(source.read()))
         elif new:
-            target.publish(view.merge(target.read(), changes, source.read()))
+            target.publish(view.merge(target.read(), changes))
         else:  # a batch that is tried again: whether its delta is in the view is not known
             target.publish(view.batch(source.read()))
+        target.vacuum()
+        source.vacuum()
         changes.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -39,6 +43,7 @@ def upsert_stream(stream: DataFrame, target: VersionedTable, key: list[str], che
     def step(batch: DataFrame, _: int) -> None:
         have = target.read() if target.exists() else batch.limit(0)
         target.publish(upsert(have, batch, key, order=order))
+        target.vacuum()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

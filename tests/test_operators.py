@@ -122,6 +122,43 @@ def test_eviction_runs_before_the_insert(spark):
     have, new = spark.range(10).toDF("k"), spark.range(100, 103).toDF("k")
     kept = views.evict_before_insert(have, new, [F.col("k")], 11, 4)
     assert rows(kept) == sorted([(k,) for k in [4, 5, 6, 7, 8, 9, 100, 101, 102]], key=str)
+    kept = views.evict_before_insert(have, new, [F.col("k")], 5, 1, F.col("k") % 2)  # 5 even and 5 odd; 2 even and 1 odd come
+    assert rows(kept) == sorted([(k,) for k in [3, 4, 5, 6, 7, 8, 9, 100, 101, 102]], key=str)
+
+
+def test_inserts_merge_without_the_source(spark, tmp_path):
+    spark.range(50).select((F.col("id") % 7).alias("g"), F.col("id").alias("x")).write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    view = views.View({"g": F.col("g")}, {"s": ("sum", "x"), "lo": ("min", "x")})
+    have = spark.createDataFrame(view.batch(source).collect(), view.batch(source).schema)
+    new = spark.createDataFrame([(3, -9, 1), (9, 4, 1)], "g long, x long, op int")
+    merged = view.merge(have, new)
+    assert "parquet" not in merged._jdf.queryExecution().executedPlan().toString().lower()
+    assert rows(merged) == rows(view.batch(source.unionByName(new.drop("op"))))
+    with pytest.raises(Exception, match="a delete needs the source"):
+        view.merge(have, new.withColumn("op", F.lit(-1))).collect()
+    touched = view.merge(have, source.filter("x = 8").withColumn("op", F.lit(-1)), source.filter("x <> 8"))
+    plan = touched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("LeftSemi") > plan.rindex("Aggregate [_k_g") - 10_000 and rows(touched) == rows(view.batch(source.filter("x <> 8")))
+
+
+def test_pointers_survive_crashes_and_refuse_lost_updates(spark, tmp_path):
+    t = dml.VersionedTable(spark, str(tmp_path / "t"))
+    t.publish(spark.range(3))
+    other = dml.VersionedTable(spark, t.path)
+    a, b = t.read(), other.read()
+    t.publish(a.filter("id < 2"))
+    with pytest.raises(dml.ConcurrentUpdate):
+        other.publish(b.filter("id > 0"))
+    assert rows(other.read()) == [(0,), (1,)]
+    (tmp_path / "t" / f"POINTER-{7:012d}").write_text("v-lost")  # a crash before the closing line
+    assert rows(t.read()) == [(0,), (1,)]
+    t.publish(t.read().filter("id < 1"))
+    assert rows(other.read()) == [(0,)] and t.append(spark.range(5, 6)) and other.append(spark.range(6, 7))
+    t.vacuum(1)
+    assert rows(t.read()) == [(0,), (5,), (6,)]
+    t.compact()
+    assert len(t.parts()) == 1 and rows(other.read()) == [(0,), (5,), (6,)]
 
 
 def test_csv_rejects_and_blanks(spark, tmp_path):
