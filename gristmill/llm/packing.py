@@ -4,12 +4,18 @@ Documents become ids of a byte-level BPE plus an end id; a text that spells an a
 that token's id, as by ``tokenizers``. Documents longer than a sequence are cut into
 whole sequences from their end backwards, so only the first piece may be shorter.
 
-Bulk-synchronous best-fit-decreasing: pieces are ranked within their length, and the sweeps run over
-length classes, longest first. In a sweep all pieces of one length meet the open gaps in order of size
-(the successor of the length first); ranks decide which piece goes to which gap; gaps shrink; the next
-length follows. Pieces of one length are interchangeable, so the sweeps need only the histogram of lengths
-(at most ``capacity`` numbers, whatever the input) and yield a plan of rank ranges; the assignment
-of every piece by its rank is then one distributed pass. This equals sequential best-fit-decreasing.
+Bulk-synchronous best-fit. Pieces longer than half a sequence open theirs at once, since no two of them share one.
+Then rounds follow until no piece is left:
+
+1. pieces and open gaps are range-sorted together by size into tasks of about ``sweep_rows`` rows; ties are split;
+2. every task sweeps its range, longest piece first: a piece goes to its successor, the smallest gap that holds it, and the
+   gap shrinks; only in the task of the largest sizes, beyond which there is no larger gap, do pieces open sequences;
+3. pieces without a successor in their task and gaps left over have ranks in it. From the largest range down, the pieces of
+   a range get the gaps of the nearest larger range, by rank, so that no two ask for one gap; the driver sees only
+   counts, a row for each task. As many of the pieces still without a gap as the tokens call for open sequences;
+4. the gaps are updated, those that no piece fits any more leave, and the next round begins.
+
+With one task this is sequential best-fit-decreasing; with many, about as many sequences come out.
 
 Defined cases: a null text is empty and yields the end id alone; repeated rows are packed each by itself;
 an empty table yields no rows; extra columns are ignored.
@@ -26,14 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import arrow_batches, gapless, materialize
+from gristmill.llm.common import arrow_batches, materialize
 
 #: Pieces that byte-level BPE encodes apart: no token runs from a non-space into a space.
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n])")
 _CACHE_SIZE = 300_000
+#: Pieces and gaps that one task sweeps.
+SWEEP_ROWS = 1 << 16
 
 
 def _byte_table() -> dict[str, int]:
@@ -135,64 +144,161 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, end_id:
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows (length, first rank, last rank + 1, pieces for each gap, first sequence, offset).
+_SWEPT = [("kind", pa.int8()), ("part", pa.int32()), ("rank", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("seq", pa.int64()), ("offset", pa.int32())]
+_SWEPT_SQL = "kind byte, part int, rank long, id long, size int, seq long, offset int"
+PLACED, WAITING, OPEN, SHRUNK = 0, 1, 2, 3
+
+
+def sweep(ids: np.ndarray, lengths: np.ndarray, seqs: np.ndarray, gaps: np.ndarray, capacity: int, opens: bool) -> tuple[list, list, list, list]:
+    """One best-fit sweep over pieces, longest first: each goes to its successor, the smallest gap that holds it.
 
-    Piece of rank r goes to sequence ``first sequence + (r - first rank) // per`` at
-    ``offset + (r - first rank) % per * length``.
+    Returns placed (id, seq, offset, length), waiting (id, length), gaps still open to any piece of a smaller range (seq,
+    gap, smallest first) and gaps too small for the pieces here. A gap that a piece has shrunk can be chosen again. Where
+    ``opens`` is set, a piece without a successor opens a sequence that bears its id.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap size: ranges (first sequence, count)
-    sizes: list[int] = []  # sorted gap sizes that have ranges
-    plan, sequences = [], 0
-
-    def add(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, count))
-
-    for length in sorted(histogram, reverse=True):
-        left, rank = histogram[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, count = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            else:
-                gap, first, count = capacity, sequences, -(-left // (capacity // length))
-                sequences += count
-            per = min(gap // length, left)
-            used = min(count, left // per)
-            plan.append((length, rank, rank + used * per, per, first, capacity - gap))
-            add(gap, first + used, count - used)
-            add(gap - per * length, first, used)
-            rank += used * per
-            left -= used * per
-    return plan
-
-
-def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    order = np.lexsort((ids, -lengths))
+    least = int(lengths.min()) if len(lengths) else 0
+    stacks: dict[int, list[int]] = {}
+    for s, g in sorted(zip(seqs.tolist(), gaps.tolist()), reverse=True):
+        stacks.setdefault(g, []).append(s)
+    sizes = sorted(stacks)
+    placed, waiting, shrunk = [], [], []
+    for i, n in zip(ids[order].tolist(), lengths[order].tolist()):
+        at = bisect.bisect_left(sizes, n)
+        if at < len(sizes):
+            gap = sizes[at]
+            seq = stacks[gap].pop()
+            if not stacks[gap]:
+                del stacks[gap], sizes[at]
+        elif opens:
+            gap, seq = capacity, i
+        else:
+            waiting.append((i, n))
+            continue
+        placed.append((i, seq, capacity - gap, n))
+        rest = gap - n
+        if rest >= least:
+            if rest not in stacks:
+                stacks[rest] = []
+                bisect.insort(sizes, rest)
+            stacks[rest].append(seq)
+        elif rest:
+            shrunk.append((seq, rest))
+    return placed, waiting, [(s, g) for g in sizes for s in stacks[g]], shrunk
+
+
+def sweep_partition(batches: Iterator[pa.RecordBatch], capacity: int, largest: int) -> Iterator[pa.RecordBatch]:
+    """The sweep of one range of sizes. No other range has larger gaps than the one of the largest size, so there pieces open sequences."""
+    rows = list(batches)
+    if not sum(b.num_rows for b in rows):
+        return
+    part = TaskContext.get().partitionId()
+    is_piece, ids, size = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("is_piece", "id", "size"))
+    gap = ~is_piece
+    placed, waiting, still, shrunk = sweep(ids[is_piece], size[is_piece], ids[gap], size[gap], capacity, int(size.max()) >= largest)
+    out: list[tuple] = [(PLACED, part, 0, i, n, s, o) for i, s, o, n in placed]
+    out += [(WAITING, part, r, i, n, 0, 0) for r, (i, n) in enumerate(waiting)]
+    out += [(OPEN, part, r, s, g, s, 0) for r, (s, g) in enumerate(still)]
+    out += [(SHRUNK, part, 0, s, g, s, 0) for s, g in shrunk]
+    columns = list(zip(*out))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _SWEPT)], names=[n for n, _ in _SWEPT])
+
+
+def settle(ranges: list[dict], capacity: int) -> np.ndarray:
+    """Which waiting pieces go to which open gaps of larger ranges, and which open sequences, by rank.
+
+    ``ranges`` holds a row for each range of sizes, in the order of size: numbers of waiting pieces and of open gaps, the
+    longest piece, the least gap, and tokens of both. Ranges are passed from the largest down; pieces take the open
+    gaps of the nearest larger range first, several pieces a gap where any of them fit together. Of the
+    pieces without a gap as many open sequences, the longest first, as the tokens that the gaps cannot hold will fill.
+    Rows: range, first rank, last rank + 1, range of the gaps (-1: a sequence of its own), first gap, pieces a gap.
+    """
+    stack: list[list[int]] = []  # range, next gap, number of gaps, least gap
+    out, left, room = [], [], 0
+    for row in reversed(ranges):
+        rank, n = 0, row["waiting"]
+        while rank < n and stack:
+            q, at, have, least = stack[-1]
+            per = max(1, least // row["longest"])
+            used = min(have - at, -(-(n - rank) // per))
+            end = min(n, rank + used * per)
+            out.append((row["part"], rank, end, q, at, per))
+            rank, stack[-1][1] = end, at + used
+            if stack[-1][1] == have:
+                stack.pop()
+        if rank < n:
+            left.append((row["part"], rank, n, row["tokens"] * (n - rank) // n))
+        if row["gaps"]:
+            stack.append([row["part"], 0, row["gaps"], row["least"]])
+        room += row["gap_tokens"]
+    opened = -(-max(sum(x[3] for x in left) - room, 0) // capacity)
+    for part, first, last, _ in left:
+        k = min(opened, last - first)
+        if k:
+            out.append((part, first, first + k, -1, 0, 1))
+            opened -= k
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 6)
+
+
+def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", sweep_rows: int = SWEEP_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     arrow_batches(docs.sparkSession)
-    cut = materialize(pieces(docs, tokenizer, pattern, capacity, end_id, id_col, text_col), "pieces")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = np.array(best_fit_plan(histogram, capacity), dtype=np.int64).reshape(-1, 6)
-    stride = np.int64(1) << 48  # ranks stay below it
-    order = np.argsort(plan[:, 0] * stride + plan[:, 1])
-    plan = plan[order]
+    cut = materialize(pieces(docs, tokenizer, pattern, capacity, end_id, id_col, text_col).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    # no two pieces longer than half a sequence share one, so all of these open theirs at once
+    large = F.col("length") * 2 > capacity
+    places = [cut.filter(large).select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"))]
+    state = cut.select((~large).alias("is_piece"), "id", F.when(large, capacity - F.col("length")).otherwise(F.col("length")).cast("int").alias("size")).filter("size > 0")
+    while True:
+        about = state.agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"), F.min(F.when(F.col("is_piece"), F.col("size"))).alias("least")).first()
+        if about["least"] is None:  # no piece is left
+            break
+        state = state.filter(F.col("is_piece") | (F.col("size") >= about["least"]))
+        largest = about["largest"]
+        ranged = state.repartitionByRange(-(-about["n"] // sweep_rows), F.col("size"), F.xxhash64("id"))  # ties are split
+        swept = materialize(ranged.select("is_piece", "id", "size").mapInArrow(lambda batches, top=largest: sweep_partition(batches, capacity, top), _SWEPT_SQL), "swept")
+        waiting, gap = F.col("kind") == WAITING, F.col("kind") == OPEN
+        when = lambda cond, value: F.when(cond, F.col(value))
+        ranges = swept.groupBy("part").agg(
+            F.count(when(waiting, "id")).alias("waiting"), F.max(when(waiting, "size")).alias("longest"), F.coalesce(F.sum(when(waiting, "size")), F.lit(0)).alias("tokens"),
+            F.count(when(gap, "id")).alias("gaps"), F.min(when(gap, "size")).alias("least"), F.coalesce(F.sum(F.when(F.col("kind").isin(OPEN, SHRUNK) & (F.col("size") >= about["least"]), F.col("size"))), F.lit(0)).alias("gap_tokens"),
+        )
+        plan = settle([r.asDict() for r in ranges.orderBy("part").collect()], capacity)  # one row for each task of the sweep
+        places.append(swept.filter(F.col("kind") == PLACED).select("id", "seq", "offset"))
+        if not len(plan):
+            state = swept.filter(F.col("kind").isin(OPEN, SHRUNK, WAITING)).select((F.col("kind") == WAITING).alias("is_piece"), "id", "size")
+            continue
+        told = swept.filter(waiting).select("part", "rank", "id", "size").mapInArrow(lambda batches, plan=plan: assign(batches, plan), "id long, size int, to int, gap_rank long, slot long")
+        told = materialize(told, "told")
+        gaps = swept.filter(gap).select(F.col("part").alias("to"), F.col("rank").alias("gap_rank"), F.col("seq"), F.col("size").alias("gap"))
+        here = Window.partitionBy("to", "gap_rank").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = materialize(told.filter("to >= 0").join(gaps, ["to", "gap_rank"]).withColumn("filled", F.sum("size").over(here)), "met")
+        own = told.filter("to = -1")
+        places += [met.select("id", "seq", (F.lit(capacity) - F.col("gap") + F.col("filled") - F.col("size")).cast("int").alias("offset")), own.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"))]
+        used = met.groupBy("to", "gap_rank").agg(F.first("seq").alias("id"), (F.first("gap") - F.max("filled")).cast("int").alias("size"))
+        a_gap = F.lit(False).alias("is_piece")
+        state = (
+            told.filter("to = -2").select(F.lit(True).alias("is_piece"), "id", "size")
+            .unionByName(own.select(a_gap, "id", (F.lit(capacity) - F.col("size")).cast("int").alias("size")))
+            .unionByName(used.filter("size > 0").select(a_gap, "id", "size"))
+            .unionByName(gaps.join(used.select("to", "gap_rank"), ["to", "gap_rank"], "left_anti").select(a_gap, F.col("seq").alias("id"), F.col("gap").alias("size")))
+            .unionByName(swept.filter(F.col("kind") == SHRUNK).select(a_gap, "id", "size"))
+        )
+        state = materialize(state, "state")
+    placed = places[0]
+    for more in places[1:]:
+        placed = placed.unionByName(more)
+    return cut.join(placed, "id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+
+
+def assign(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Range of the gap (-1: a sequence of its own, -2: waits on), rank of the gap and place in it, for each waiting piece."""
+    stride = np.int64(1) << 40  # ranks within a task stay below it
     keys = plan[:, 0] * stride + plan[:, 1]
-    ranked = gapless(cut, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], "rank")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            row = plan[np.searchsorted(keys, length * stride + rank, side="right") - 1]
-            step = rank - row[:, 1]
-            out = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            out += [pa.array(row[:, 4] + step // row[:, 3]), pa.array(row[:, 5] + step % row[:, 3] * length)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    for batch in batches:
+        part, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "rank"))
+        at = np.maximum(np.searchsorted(keys, part * stride + rank, side="right") - 1, 0)
+        row = plan[at]
+        inside = (row[:, 0] == part) & (row[:, 1] <= rank) & (rank < row[:, 2])
+        step = rank - row[:, 1]
+        columns = [batch.column("id"), batch.column("size"), pa.array(np.where(inside, row[:, 3], -2), pa.int32()), pa.array(row[:, 4] + step // row[:, 5]), pa.array(step % row[:, 5])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "to", "gap_rank", "slot"])

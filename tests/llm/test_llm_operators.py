@@ -288,7 +288,6 @@ def test_packing(spark, docs, texts):
 
     path, pattern = tokenizer_file()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = packing.pack(docs, path, pattern, capacity=1024, end_id=2).collect()
     want = Counter()
     for d, t in texts:
@@ -314,13 +313,12 @@ def test_encoder_equals_the_tokenizer_on_odd_spaces():
 
     path, pattern = tokenizer_file()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     enc = packing.encoder(path, pattern)
     rng = np.random.default_rng(7)
     bits = [" ", "\n", "\t", "  ", " ", "　", "a", "Bé", "12", "'s", "!!", "<|endoftext|>", "\x1c", "\x85", "语"]
     for _ in range(400):
         text = "".join(rng.choice(bits, rng.integers(0, 12)))
-        assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.ids(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_added_tokens_in_texts_get_their_ids(spark):
@@ -337,30 +335,38 @@ def test_added_tokens_in_texts_get_their_ids(spark):
     assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in got} == {(d, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for d, ids in enumerate(want)}
 
 
-def test_plan_equals_sequential_best_fit():
+def best_fit(lengths, capacity):
+    """Sequences of sequential best-fit-decreasing."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            g = min(fit)
+            gaps.remove(g)
+            gaps.append(g - n)
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 150])
+@pytest.mark.parametrize("kind", ["any", "small", "thirds", "hot"])
+def test_sweeps_use_about_as_few_sequences_as_best_fit(spark, rows, kind, monkeypatch):
+    """In one task as many as sequential best-fit-decreasing, in many at most 3 % more and one for each task."""
     rng = np.random.default_rng(8)
-    for capacity in (10, 64):
-        lengths = sorted(rng.integers(1, capacity + 1, 500).tolist(), reverse=True)
-        gaps: list[int] = []
-        for n in lengths:
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                g = min(fit)
-                gaps.remove(g)
-                gaps.append(g - n)
-            else:
-                gaps.append(capacity - n)
-        used: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        seen = Counter()
-        for length, r0, r1, per, first, offset in packing.best_fit_plan(dict(Counter(lengths)), capacity):
-            assert r0 == seen[length]
-            seen[length] = r1
-            for r in range(r1 - r0):
-                used[first + r // per].append((offset + r % per * length, length))
-        assert seen == Counter(lengths) and len(used) == len(gaps)
-        for spans in used.values():
-            at = 0
-            for o, n in sorted(spans):
-                assert o == at
-                at += n
-            assert at <= capacity
+    lengths = {"any": rng.integers(1, 65, 1500), "small": rng.integers(1, 9, 3000), "thirds": rng.integers(18, 30, 1500), "hot": np.where(rng.random(1500) < 0.4, 20, rng.integers(1, 65, 1500))}[kind].tolist()
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "pieces", lambda *_: cut)
+    got = packing.pack(cut, "", "", capacity=64, sweep_rows=rows).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    want = best_fit(lengths, 64)
+    assert len(by) == want if rows > len(lengths) else len(by) <= want * 1.03 + -(-len(lengths) // rows)
