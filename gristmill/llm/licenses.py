@@ -1,11 +1,15 @@
-"""Licence scans: TF-IDF cosine of statements to templates, then inheritance from the nearest directory.
+"""Licence scans: TF-IDF cosine of statements, headers and licence files to templates, then inheritance from the nearest directory.
 
-Built from DataFrame functions alone. Every line of a text that holds a cue word is a statement. Its terms
-(``[a-z0-9]+`` joined by single dots or hyphens) are weighted by count times inverse document frequency,
-the frequencies taken over all documents, and compared with each template; terms of no template weigh as if no document
-held them. The best template of at least ``threshold`` is the text's own licence. A line with an SPDX identifier states its
-licence expression with a score of 1, whether or not there is a template of it. Only the frequencies of the
-templates' terms, a fixed list, go to the driver; scoring is a row-wise expression.
+Built from DataFrame functions alone. A text is cut into sentences (at line ends, and at white space after ``.``, ``!`` and ``?``)
+and into blocks of several lines (at empty lines), so that a statement is found within a line, and a wrapped header or a
+paragraph of a licence as a whole. Those that hold a cue are compared: every template holds one, and texts without a
+cue, most of a corpus, are passed over by one regular expression.
+
+Terms are ``[a-z0-9]+``, version numbers with their dots. Their weight is the count times an inverse document frequency over the
+templates, which is fixed: what else a table holds changes no file's licence. Terms of no template weigh ``UNKNOWN``. The sparse
+vectors are exploded to (statement, term, weight) rows, joined with the templates' rows, a broadcast of fixed size, and
+summed to cosines. The best template of at least ``threshold`` is the text's own licence. A sentence with an SPDX
+identifier states its licence expression with a score of 1, whether or not there is a template of it.
 
 A licence file is one with a licence file's name, or whose statement makes at least half of its terms. Its licence
 holds for its directory and those below, unless a nearer directory has one: the distinct directories look up
@@ -18,38 +22,24 @@ yields no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import materialize
 from gristmill.llm.decontaminate import let
+from gristmill.llm.license_texts import CUES, FILE_NAMES, IDENTIFIERS, TEMPLATES
 
-# fixed values: statements by which licences are named
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
-    ("Proprietary", "All rights reserved."),
-]
-# fixed values: words of which a statement holds at least one
-CUES = ["apache", "bsd", "cc", "cc0", "copyright", "copyrighted", "domain", "gnu", "gpl", "lgpl", "licence", "license", "licensed", "licenses", "mit", "mozilla", "mpl", "reserved", "rights", "spdx"]
-FILE_NAMES = ["license", "licence", "copying", "unlicense", "notice"]
 _ID = "[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
-SPDX = rf"(?<![A-Za-z0-9])(?i:SPDX-License-Identifier)\s*:\s*(\(*{_ID}\)*(?:\s+(?:AND|OR|WITH)\s+\(*{_ID}\)*)*)"
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+SPDX = rf"(?:^|[^A-Za-z0-9])(?i:SPDX-License-Identifier)[ \t]*:[ \t]*(\(*{_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_ID}\)*)*)"
+TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+CUE = "|".join([*CUES, "spdx"])
+#: Weight of a term that no template holds, such as that of a term of a third of the templates.
+UNKNOWN = 2.0
 
 
 def terms_of(text: str) -> list[str]:
@@ -60,56 +50,66 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def idf(docs: DataFrame, text_col: str) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of each template term, and that of a term that no document holds."""
-    vocabulary = sorted({t for _, text in TEMPLATES for t in terms_of(text)})
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.split(text, r"[^a-z0-9.-]+|[.-]+(?![a-z0-9])|(?<![a-z0-9])[.-]+"))).alias("term"))
-    counts = {r["term"]: r["n"] for r in words.filter(F.col("term").isin(vocabulary)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = docs.count()
-    weight = lambda n: math.log((total + 1) / (n + 1)) + 1.0
-    return {t: weight(counts.get(t, 0)) for t in vocabulary}, weight(0)
+def idf() -> dict[str, float]:
+    """Inverse document frequency of each template term over the templates."""
+    held = Counter(t for _, text in TEMPLATES for t in set(terms_of(text)))
+    return {t: math.log((len(TEMPLATES) + 1) / (n + 1)) + 1.0 for t, n in held.items()}
 
 
-def best_template(line_terms: Column, weights: dict[str, float], unknown: float) -> Column:
-    """struct(score, name) of the most similar template to a line; ties go to the first name."""
-    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    count = lambda t: F.size(F.filter(line_terms, lambda y: y == t))
-    length_of = F.sqrt(F.aggregate(F.array_distinct(line_terms), F.lit(0.0), lambda acc, t: acc + F.pow(count(t) * F.coalesce(F.try_element_at(known, t), F.lit(unknown)), F.lit(2.0))))
+def template_rows(spark: SparkSession) -> DataFrame:
+    """term, idf, uses (template, share: its weight over the template's length) for every template term, from a literal."""
+    weight, uses = idf(), {}
+    for number, (_, text) in enumerate(TEMPLATES):
+        own = {t: n * weight[t] for t, n in Counter(terms_of(text)).items()}
+        length = math.sqrt(sum(w * w for w in own.values()))
+        for t, w in own.items():
+            uses.setdefault(t, []).append({"template": number, "share": w / length})
+    rows = [{"term": t, "idf": weight[t], "uses": u} for t, u in sorted(uses.items())]
+    kind = "array<struct<term:string,idf:double,uses:array<struct<template:int,share:double>>>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r")).select("r.*")
 
-    def against(norm: Column) -> Column:
-        scores = []
-        for name, text in TEMPLATES:
-            own = {t: n * weights[t] for t, n in Counter(terms_of(text)).items()}
-            length = math.sqrt(sum(w * w for w in own.values()))
-            dot = sum((count(F.lit(t)) * F.lit(w * weights[t]) for t, w in sorted(own.items())), F.lit(0.0))
-            scores.append(F.struct((-(dot / (norm * length))).alias("minus"), F.lit(name).alias("name")))
-        return F.array_min(F.array(*scores))
 
-    return let(length_of, against)
+def statements(text: Column) -> Column:
+    """Sentences, and blocks of several lines, that hold a cue."""
+    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
+    blocks = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda b: F.contains(b, F.lit("\n")))
+    return F.filter(F.concat(sentences, blocks), lambda u: F.lower(u).rlike(CUE))
 
 
 def spdx(line: Column) -> Column:
     """The licence expression of a line's SPDX identifier in the templates' spelling, or an empty string."""
-    spelt = F.create_map(*[F.lit(x) for name, _ in TEMPLATES for x in (name.lower(), name)])
+    spelt = F.create_map(*[F.lit(x) for name in IDENTIFIERS for x in (name.lower(), name)])
     return let(F.regexp_extract(line, SPDX, 1), lambda found: F.coalesce(F.try_element_at(spelt, F.lower(found)), found))
 
 
+def best_licenses(stated: DataFrame, threshold: float) -> DataFrame:
+    """rid, own_license, score, size of the best statement of each row; stated: rid, u, statement."""
+    spark = stated.sparkSession
+    read = materialize(stated.select("rid", "u", spdx(F.col("statement")).alias("named"), terms("statement").alias("terms")), "read")
+    counted = read.filter("named = ''").select("rid", "u", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("rid", "u", "size", "term").agg(F.count(F.lit(1)).alias("c"))
+    weighed = counted.join(F.broadcast(template_rows(spark)), "term", "left").withColumn("x", F.col("c") * F.coalesce("idf", F.lit(UNKNOWN)))
+    weighed = materialize(weighed.select("rid", "u", "size", "x", "uses"), "weighed")
+    lengths = weighed.groupBy("rid", "u", "size").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    dots = weighed.select("rid", "u", "x", F.explode("uses").alias("t")).groupBy("rid", "u", "t.template").agg(F.sum(F.col("x") * F.col("t.share")).alias("dot"))
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    scored = dots.join(lengths, ["rid", "u"]).select("rid", F.round(F.col("dot") / F.col("length"), 9).alias("score"), F.get(names, F.col("template")).alias("name"), "size")
+    scored = scored.filter(F.col("score") >= threshold).unionByName(read.filter("named <> ''").select("rid", F.lit(1.0).alias("score"), F.col("named").alias("name"), F.size("terms").alias("size")))
+    best = scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", (-F.col("size")).alias("size"))).alias("b"))
+    return best.select("rid", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("score"), (-F.col("b.size")).alias("size"))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = 0.6, carry: list[str] | None = None) -> DataFrame:
     """The carried columns, path, own_license, score, license, license_from of every file."""
-    weights, unknown = idf(files, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cue = rf"(?i)(?<![a-z0-9])(?:{'|'.join(CUES)})(?![a-z0-9])"
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(cue))
-    stated = lambda line, t: let(spdx(line), lambda name: F.when(name != "", F.struct(F.lit(-1.0).alias("minus"), name.alias("name"))).otherwise(best_template(t, weights, unknown)))
-    ranked = F.array_min(F.transform(lines, lambda line: let(terms(line), lambda t: F.struct(stated(line, t).alias("b"), (-F.size(t)).alias("size")))))
+    told = F.lower(text).rlike(CUE)
     carried = carry or []
-    base = files.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(path_col).alias("path"), ranked.alias("r"), F.when(F.size(lines) > 0, F.size(terms(text))).alias("n_terms"))
-    base = base.withColumn("score", F.round(-F.col("r.b.minus"), 9)).withColumn("own_license", F.when(F.col("score") >= threshold, F.col("r.b.name")))
-    base = base.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")))
-    base = materialize(base, "statements")  # the texts are scored once; grants, directories and answers read this
+    rows = files.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(path_col).alias("path"), F.when(told, statements(text)).alias("statements"), F.when(told, F.size(terms(text))).alias("n_terms"))
+    rows = rows.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")))
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "statements")  # the texts are read once
+    own = best_licenses(rows.filter("size(statements) > 0").select("rid", F.posexplode("statements").alias("u", "statement")), threshold)
+    base = materialize(rows.drop("statements").join(own, "rid", "left"), "own")
     stem = F.lower(F.regexp_extract("path", r"([^/.]*)(?:\.[^/]*)?$", 1))
-    whole = (-2 * F.col("r.size")) >= F.col("n_terms")
+    whole = 2 * F.col("size") >= F.col("n_terms")
     granting = base.filter(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & (stem.isin(FILE_NAMES) | whole))
     grants = granting.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own_license")).alias("g")).select("dir", F.col("g.own_license").alias("given"))
     dirs = base.select("dir").filter("dir is not null").distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gristmill.llm.licenses import CUES, FILE_NAMES, TEMPLATES, TERM
+from gristmill.llm.license_texts import FILE_NAMES, IDENTIFIERS, TEMPLATES
+from gristmill.llm.licenses import CUE, SPDX, TERM, UNKNOWN, terms_of
 
 _SOLID = "'[^\\x20\\x09-\\x0D]+'"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -26,23 +27,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DES
 """
 
 _QUOTED = lambda xs: ", ".join("'" + x + "'" for x in xs)
+_LIKE = lambda text: " ".join(terms_of(text))
 OP2 = f"""
 WITH files AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, row_number() OVER () AS row FROM documents),
-tm AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{t.lower()}')" for n, t in TEMPLATES)}) AS v(name, words)),
-tt AS (SELECT name, t, count(*) AS c FROM (SELECT name, unnest(regexp_extract_all(words, '{TERM}')) AS t FROM tm) x GROUP BY ALL),
-voc AS (SELECT DISTINCT t FROM tt),
-total AS (SELECT count(*) AS n FROM files),
-df AS (SELECT t, count(*) AS c FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM files) x WHERE t IN (SELECT t FROM voc) GROUP BY t),
-idf AS (SELECT voc.t, ln((total.n + 1) / (coalesce(df.c, 0) + 1)) + 1.0 AS w FROM voc LEFT JOIN df USING (t), total),
-tw AS (SELECT name, t, c * w AS x, w FROM tt JOIN idf USING (t)),
-tn AS (SELECT name, sqrt(sum(x * x)) AS norm FROM tw GROUP BY name),
-l0 AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM files),
-l1 AS (SELECT row, row_number() OVER () AS id, regexp_extract_all(lower(line), '{TERM}') AS terms FROM l0 WHERE regexp_matches(line, '(?i)(^|[^a-z0-9])({"|".join(CUES)})([^a-z0-9]|$)')),
-lt AS (SELECT row, id, len(terms) AS size, t, count(*) AS c FROM (SELECT row, id, terms, unnest(terms) AS t FROM l1) x GROUP BY ALL),
-lw AS (SELECT row, id, size, t, c, c * coalesce(w, ln((total.n + 1) / 1) + 1.0) AS x FROM lt LEFT JOIN idf USING (t), total),
+tm AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', '{_LIKE(t)}')" for i, (n, t) in enumerate(TEMPLATES))}) AS v(template, name, words)),
+tt AS (SELECT template, name, t, count(*) AS c FROM (SELECT template, name, unnest(string_split(words, ' ')) AS t FROM tm) x GROUP BY ALL),
+idf AS (SELECT t, ln((SELECT count(*) + 1 FROM tm) / (count(*) + 1)) + 1.0 AS w FROM tt GROUP BY t),
+tw AS (SELECT template, name, t, c * w AS x FROM tt JOIN idf USING (t)),
+tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tw GROUP BY template),
+s0 AS (SELECT row, unnest(list_concat(string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), list_filter(string_split(regexp_replace(text, '\n[ \t\r]*\n', chr(0), 'g'), chr(0)), lambda b: contains(b, chr(10))))) AS line FROM files WHERE regexp_matches(lower(text), '{CUE}')),
+s1 AS (SELECT row, row_number() OVER () AS id, regexp_extract(line, '{SPDX}', 1) AS named, regexp_extract_all(lower(line), '{TERM}') AS terms FROM s0 WHERE regexp_matches(lower(line), '{CUE}')),
+lt AS (SELECT row, id, len(terms) AS size, t, count(*) AS c FROM (SELECT row, id, terms, unnest(terms) AS t FROM s1 WHERE named = '') x GROUP BY ALL),
+lw AS (SELECT row, id, size, t, c * coalesce(w, {UNKNOWN}) AS x FROM lt LEFT JOIN idf USING (t)),
 ln_ AS (SELECT row, id, size, sqrt(sum(x * x)) AS norm FROM lw GROUP BY ALL),
-sc AS (SELECT n.row, n.id, n.size, tw.name, round(sum(lw.c * tw.w * tw.x) / (n.norm * tn.norm), 9) AS score FROM lw JOIN ln_ n USING (id) JOIN tw ON tw.t = lw.t JOIN tn ON tn.name = tw.name GROUP BY n.row, n.id, n.size, n.norm, tw.name, tn.norm),
-best AS (SELECT row, name, size, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, name, size DESC) AS k FROM sc WHERE score >= 0.6) x WHERE k = 1),
+sc AS (SELECT n.row, n.id, n.size, tw.name, round(sum(lw.x * tw.x) / (n.norm * tn.norm), 9) AS score FROM lw JOIN ln_ n USING (id) JOIN tw ON tw.t = lw.t JOIN tn ON tn.template = tw.template GROUP BY n.row, n.id, n.size, n.norm, tw.template, tw.name, tn.norm),
+spelt AS (SELECT * FROM (VALUES {", ".join(f"('{n}')" for n in IDENTIFIERS)}) AS v(identifier)),
+all_ AS (SELECT row, name, size, score FROM sc WHERE score >= 0.6 UNION ALL SELECT row, coalesce(identifier, named), len(terms), 1.0 FROM s1 LEFT JOIN spelt ON lower(identifier) = lower(named) WHERE named <> ''),
+best AS (SELECT row, name, size, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, name, size DESC) AS k FROM all_) x WHERE k = 1),
 own AS (SELECT f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, b.name, b.score, b.size, len(regexp_extract_all(lower(f.text), '{TERM}')) AS all_terms FROM files f LEFT JOIN best b USING (row)),
 grants AS (SELECT dir, name FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS k FROM own WHERE name IS NOT NULL AND (2 * size >= all_terms OR regexp_extract(lower(path), '([^/.]*)(\\.[^/]*)?$', 1) IN ({_QUOTED(FILE_NAMES)}))) x WHERE k = 1),
 up AS (SELECT DISTINCT dir, unnest([dir, regexp_replace(dir, '/[^/]*$', '')]) AS anc FROM own),

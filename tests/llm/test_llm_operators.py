@@ -100,10 +100,10 @@ def test_licenses(spark):
 def test_license_scores(spark):
     lines = ["Released under the MIT License.", "released under the mit license today", "All rights reserved", "Licensed under CC BY 4.0."]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(lines)], "path string, text string")
-    weights, unknown = licenses.idf(df, "text")
+    weights = licenses.idf()
     for r in licenses.scan(df).collect():
         tf = Counter(licenses.terms_of(lines[int(r["path"])]))
-        x = {t: n * weights.get(t, unknown) for t, n in tf.items()}
+        x = {t: n * weights.get(t, licenses.UNKNOWN) for t, n in tf.items()}
         best = 0.0
         for _, text in licenses.TEMPLATES:
             y = {t: n * weights[t] for t, n in Counter(licenses.terms_of(text)).items()}
@@ -112,6 +112,94 @@ def test_license_scores(spark):
         assert best >= 0.6 and r["score"] == pytest.approx(best, abs=1e-8)
 
 
+def test_every_template_holds_a_cue():
+    assert all(any(cue in text.lower() for cue in licenses.CUES) for _, text in licenses.TEMPLATES)
+
+
+MIT = """Copyright (c) 2021 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL3_HEADER = """# This file is part of Something.
+#
+# Something is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# Something is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+
+import os
+"""
+APACHE_HEADER = """/*
+ * Copyright 2015 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package a;
+"""
+APACHE_LICENSE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+BSD3 = """Copyright (c) 2001, The Holders
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+
+
+def test_licence_texts_and_headers(spark):
+    other = "on a line of its own stands some prose about nothing in particular, and it goes on\n"
+    files = [
+        ("mit/LICENSE", MIT, "MIT"), ("gpl/a.py", GPL3_HEADER, "GPL-3.0"), ("apache/A.java", APACHE_HEADER, "Apache-2.0"), ("apache2/LICENSE", APACHE_LICENSE, "Apache-2.0"), ("bsd/COPYING", BSD3, "BSD-3-Clause"),
+        ("agpl/b.py", GPL3_HEADER.replace("General", "Affero General"), "AGPL-3.0"), ("gpl2/c.py", GPL3_HEADER.replace("version 3", "version 2"), "GPL-2.0"), ("lgpl/d.py", GPL3_HEADER.replace("General", "Lesser General"), "LGPL-3.0"),
+        ("x/1", "That and in the of it is. Released under the MIT License. To that the of and in it is.", "MIT"), ("x/2", "All the code in this file is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("x/3", "Released under the Apache-2.0 license.", "Apache-2.0"), ("x/4", "(c) 2020 Firm. All rights reserved.", "Proprietary"), ("x/5", other + "Licensed under CC BY-SA 4.0.\n" + other, "CC-BY-SA-4.0"),
+        ("n/1", "Drivers need a licence, and the warranty of a car is void without one.", None), ("n/2", "The public license office opens at nine.", None), ("n/3", other * 5, None),
+        ("n/4", "She reserved a table under the name of the version she had been told.", None),
+    ]
+    for some in (files, files[:1], files[1:2], files[9:10]):  # a file's licence does not depend on the others
+        got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame([f[:2] for f in some], "path string, text string")).collect()}
+        assert got == {p: name for p, _, name in some}
+
+
 def test_spdx_identifiers_state_their_licence(spark):
     want = {
         "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// spdx-license-identifier: mit": "MIT", "<!-- SPDX-License-Identifier: GPL-2.0-or-later -->": "GPL-2.0-or-later", "/* SPDX-License-Identifier: AGPL-3.0-only */": "AGPL-3.0-only",
