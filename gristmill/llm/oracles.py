@@ -51,6 +51,21 @@ near AS (SELECT dir, anc, name FROM (SELECT up.dir, up.anc, g.name, row_number()
 SELECT o.doc_id, o.path, o.name AS own_license, o.score, coalesce(o.name, n.name) AS license, CASE WHEN o.name IS NOT NULL THEN o.path ELSE n.anc END AS license_from FROM own o LEFT JOIN near n ON n.dir = o.dir
 """
 
+OP3 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT row, o, substr(h, 2 * o + 1, 1398) AS piece FROM (SELECT row, h, unnest(range(0, len(h) // 2 - 199, 500)) AS o FROM d WHERE len(h) >= 400) x),
+w AS (SELECT row, o + q AS p, md5(substr(piece, 2 * q + 1, 400)) AS k FROM (SELECT row, o, piece, unnest(range(0, len(piece) // 2 - 199)) AS q FROM c) x),
+dup AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT row, p, lag(p) OVER (PARTITION BY row ORDER BY p) AS before FROM w WHERE k IN (SELECT k FROM dup)),
+n AS (SELECT row, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY p) AS run FROM s),
+r AS (SELECT row, run, min(p) AS a, max(p) + 200 AS b FROM n GROUP BY ALL),
+g AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS since FROM r),
+t AS (SELECT row, h, sum(b - a) AS removed, count(*) AS spans, max(b) AS done, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM g JOIN d USING (row) GROUP BY row, h)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN d.h ELSE kept || substr(d.h, 2 * done + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (row)
+"""
+
 OP4 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SOLID}) AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),

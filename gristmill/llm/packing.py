@@ -254,7 +254,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 1024, en
             break
         state = state.filter(F.col("is_piece") | (F.col("size") >= about["least"]))
         largest = about["largest"]
-        ranged = state.repartitionByRange(-(-about["n"] // sweep_rows), F.col("size"), F.xxhash64("id"))  # ties are split
+        # ties are split; what one task holds needs no ranges, and ends there
+        ranged = state.coalesce(1) if about["n"] <= sweep_rows else state.repartitionByRange(-(-about["n"] // sweep_rows), F.col("size"), F.xxhash64("id"))
         swept = materialize(ranged.select("is_piece", "id", "size").mapInArrow(lambda batches, top=largest: sweep_partition(batches, capacity, top), _SWEPT_SQL), "swept")
         waiting, gap = F.col("kind") == WAITING, F.col("kind") == OPEN
         when = lambda cond, value: F.when(cond, F.col(value))

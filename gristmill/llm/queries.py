@@ -64,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_suffix_dedup, op4_substring_dedup, op5_neighbours, op6_html_text, op7_sharding, op8_quality, op9_minhash_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {
-    "op1_decontaminate": oracles.OP1, "op2_licenses": oracles.OP2, "op4_substring_dedup": oracles.OP4, "op5_neighbours": oracles.OP5, "op9_minhash_dedup": oracles.OP9,
+    "op1_decontaminate": oracles.OP1, "op2_licenses": oracles.OP2, "op3_suffix_dedup": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op5_neighbours": oracles.OP5, "op9_minhash_dedup": oracles.OP9,
 }
