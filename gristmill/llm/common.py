@@ -7,15 +7,19 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset in a local session (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         found = os.path.join(tempfile.gettempdir(), f"gristmill-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,6 +59,22 @@ def discard(*frames: DataFrame) -> None:
             _remove(df.sparkSession, found[1])
 
 
+@contextmanager
+def owned() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove, at the end of the block, all that was materialized in it but for the frames given to the function it yields.
+
+    For a block that has written its result: what the result was made from is then of no more use.
+    """
+    before, kept = set(_PATHS), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    yield keep
+    discard(*[df for k, (df, _) in list(_PATHS.items()) if k not in before and k not in kept])
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()

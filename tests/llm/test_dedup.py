@@ -167,6 +167,19 @@ def test_superminhash_estimates_similarity():
     assert abs(np.mean(hits) - 0.6) < 0.03
 
 
+def test_superminhash_varies_less_than_independent_slots():
+    """Small sets, where correlated ranks help most: independent minima would have variance J (1 - J) / slots."""
+    rng = np.random.default_rng(6)
+    shared, total, slots = 20, 40, minhash_dedup.SLOTS
+    estimates = []
+    for s in range(400):
+        u = rng.integers(0, 2**63, total).astype(np.uint64)
+        a, b = u[: (total + shared) // 2], np.concatenate([u[:shared], u[(total + shared) // 2 :]])
+        estimates.append(np.mean(np.equal(*minhash_dedup.superminhash(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), seed=s))))
+    j = shared / total
+    assert abs(np.mean(estimates) - j) < 0.015 and np.var(estimates) < 0.85 * j * (1 - j) / slots
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
     assert substring_dedup.remove_seen(no_docs).count() == 0
