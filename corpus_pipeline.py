@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, minhash_dedup, packing, quality, substring_dedup
-from gristmill.llm.common import materialize
+from gristmill.llm.common import discard, materialize, owned
 from gristmill.llm.queries import tokenizer_file
 from gristmill.tables import table
 
@@ -68,5 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with owned() as keep:
+            after = keep(materialize(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
