@@ -40,6 +40,7 @@ TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 CUE = "|".join([*CUES, "spdx"])
 #: Weight of a term that no template holds, such as that of a term of a third of the templates.
 UNKNOWN = 2.0
+SALTS = 16
 
 
 def terms_of(text: str) -> list[str]:
@@ -116,7 +117,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     parts = F.split("dir", "/")
     ancestors = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up")))).alias("a"))
     nearest = ancestors.select("dir", "a.depth", "a.up").join(grants.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "given")).alias("n"))
-    out = base.join(nearest.select("dir", F.col("n.up").alias("up"), F.col("n.given").alias("given")), "dir", "left")
+    # a directory may hold a third of all files: its files are dealt over SALTS keys, its answer goes to each
+    answers = nearest.select("dir", F.col("n.up").alias("up"), F.col("n.given").alias("given"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = base.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(answers, ["dir", "salt"], "left")
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)],
         "path",
