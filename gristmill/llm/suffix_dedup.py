@@ -1,21 +1,21 @@
-"""Removal of byte strings of 200 bytes that occur more than once, by distributed prefix doubling.
+"""Removal of byte strings of 200 bytes that occur more than once, by minimizer winnowing and hash grouping.
 
-Suffixes are ranked at sampled positions only. Every window of 200 bytes owns an anchor: the position, among
-its first 101, whose next 25 bytes hash least (the leftmost on a tie). Equal windows own equal anchors at
-equal offsets, so a window can only repeat if its anchor's prefix does.
+This replaces distributed prefix doubling: no (rank, position) pairs are sorted and nothing is ranked again, since a
+pair for each byte position is many times the input in every round (figures in the README). Equal strings are found by
+equal fingerprints instead.
 
-Doubling. The rank of an anchor at length 2L is the pair of ranks at length L of the anchor and of the position
-L further on. Spark sorts or hashes the pairs of all documents together, pairs that stand alone are unique and
-drop out, and the rest is ranked again at the next offset: 25, 50, 100 bytes, then past the threshold:
+Every window of 200 bytes owns an anchor: the position, among its first 101, whose next 25 bytes hash least (the
+leftmost on a tie). Equal windows own equal anchors at equal offsets, so a window can only repeat if the 50 and the
+100 bytes from its anchor do: anchors whose fingerprint of these lengths stands alone drop out. Then:
 
 1. all windows of an anchor as one block (200 bytes plus the windows' spread): blocks that occur twice settle
    all their windows at once, which is the bulk of any copied text;
 2. blocks that do not, in four parts, each dropped if the bytes that its windows have in common are unique;
 3. what is left, window by window, at exactly 200 bytes.
 
-Ranks are 64-bit fingerprints, which name equal strings alike on every executor, so no rank table is sent
-about. A rank that a third of all rows share costs one row a task in the partial aggregate; joins back to the
-rows are sort-merge joins that adaptive execution splits. A document's own spans are gathered by document only.
+Fingerprints are 62 bits (two lanes modulo a prime), which name equal strings alike on every executor. One that a third
+of all rows share costs one row a task in the partial aggregate; joins back to the rows are sort-merge joins that
+adaptive execution splits. A document's own spans are gathered by document only.
 
 Defined cases: a null text is empty; texts under 200 bytes keep all; repeated rows repeat each other and are
 removed whole where long enough; an empty table yields no rows; extra columns are ignored.
@@ -39,10 +39,10 @@ _POS_BITS = np.uint64(31)
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
-    """Anchors of all windows of ``threshold`` bytes: text number, place, first and last window start, ranks."""
+    """Anchors of all windows of ``threshold`` bytes: text number, place, first and last window start, fingerprints."""
     half = threshold // 2
     n = len(raw)
-    names = ("text", "at", "first", "last", "rank_2", "rank_4", "block")
+    names = ("text", "at", "first", "last", "prefix_2", "prefix_4", "block")
     if n < threshold:
         return {k: np.zeros(0, dtype=np.int64) for k in names}
     sums = K.prefix_hashes(raw)
@@ -62,11 +62,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, n
     text, place, first, last = text[head], anchor[head], start[head], start[tail]
     pair = lambda a, b: K.mix(a * np.uint64(0x9FB21C651E98DF25) + K.mix(b))
     two = lambda p: pair(seeds[p], seeds[p + SEED_BYTES])
-    rank_2 = two(place)
-    rank_4 = pair(rank_2, two(place + 2 * SEED_BYTES))
+    prefix_2 = two(place)
+    prefix_4 = pair(prefix_2, two(place + 2 * SEED_BYTES))
     block = pair(K.span_hashes(sums, first, last + threshold), (place - first).astype(np.uint64))
     base = offsets[text]
-    return dict(zip(names, (text, place - base, first - base, last - base, K.signed(rank_2), K.signed(rank_4), K.signed(block))))
+    return dict(zip(names, (text, place - base, first - base, last - base, K.signed(prefix_2), K.signed(prefix_4), K.signed(block))))
 
 
 def anchors_in_parts(raw: np.ndarray, offsets: np.ndarray, threshold: int, most: int) -> dict[str, np.ndarray]:
@@ -125,22 +125,22 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     def find(raw: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> list:
         got = anchors_in_parts(raw, offsets, threshold, long_text)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
-        return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("rank_2", "rank_4", "block"))]
+        return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("prefix_2", "prefix_4", "block"))]
 
-    schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("rank_2", "rank_4", "block"))]
-    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, rank_2 long, rank_4 long, block long"), "anchors")
-    for rank in ("rank_2", "rank_4"):  # the doubling rounds: unique ranks leave
-        names = materialize(repeated(rows, rank), rank)
-        kept = materialize(rows.join(names, rank).drop("rank_2"), "ranked")
+    schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("prefix_2", "prefix_4", "block"))]
+    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, prefix_2 long, prefix_4 long, block long"), "anchors")
+    for prefix in ("prefix_2", "prefix_4"):  # anchors whose 50 or 100 bytes are unique leave
+        names = materialize(repeated(rows, prefix), prefix)
+        kept = materialize(rows.join(names, prefix).drop("prefix_2"), "paired")
         discard(rows, names)
         rows = kept
-    rows = rows.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), F.col("rank_4").alias("rank"), "block")
-    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "rank")).alias("_one"))
+    rows = rows.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), F.col("prefix_4").alias("prefix"), "block")
+    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "prefix")).alias("_one"))
     twice = blocks.filter("_n > 1")
     settled = rows.join(twice.select("block"), "block").select("rid", "first", "last")
     single = blocks.filter("_n = 1").select("_one.*", F.lit(True).alias("open"))
-    # one copy of each repeated block stands in for all, where an open block shares its anchor's rank
-    models = twice.select("_one.*", F.lit(False).alias("open")).join(single.select("rank").distinct(), "rank").select(*single.columns)
+    # one copy of each repeated block stands in for all, where an open block shares its anchor's prefix
+    models = twice.select("_one.*", F.lit(False).alias("open")).join(single.select("prefix").distinct(), "prefix").select(*single.columns)
     asked = materialize(single.unionByName(models), "asked")
 
     def with_text(spans: DataFrame) -> DataFrame:
