@@ -9,11 +9,14 @@ How it scales: sets equal to each other collapse first (one partial aggregate, h
 are). Banding finds candidates: 16 bands of 4 SuperMinHash values miss a pair at 0.85 with probability below
 1e-5; 32 bands (``slots`` = 128) one at 0.8 below 1e-7. Documents that share a bucket, directly or through
 others, form candidate clusters by distributed label propagation; only their sets travel, once, and each cluster
-is resolved exactly by union-find. A cluster whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered:
-``link_large`` resolves it by rounds of distributed comparisons with centres, over the pairs that share a bucket.
+is resolved exactly: two members are in one component if links over all pairs of the cluster join them. A small
+cluster is resolved in one task by union-find. One whose sets exceed ``MAX_CLUSTER_SHINGLES`` is never gathered:
+``link_large`` compares the pairs that share a shingle of their prefixes, which all pairs at the threshold do, in
+distributed rounds. The size decides the way only; the components are the same.
 
 Defined cases: null text is empty; a row without an id has a set but no component of its own (kept is null);
-repeated rows with one doc_id act as one document; an empty table yields no rows; extra columns are ignored.
+rows with one doc_id act as one document, linked by any of their texts, each row with the size of its own set; an
+empty table yields no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from gristmill.llm.common import arrow_batches, discard, materialize
 SHINGLE, SLOTS, BAND_ROWS = 5, 64, 4
 #: Shingles of the clusters that one task resolves, about 200 MB of working arrays.
 MAX_CLUSTER_SHINGLES = 4_000_000
-CENTRES = 8
+#: Centres that a key names in the first round and, after doubling, at most.
+CENTRES, MOST_CENTRES = 8, 128
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -137,17 +141,9 @@ def link_components(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np
     """Component (smallest id) of each document: exact union-find over all pairs that meet the threshold.
 
     Members are taken from the most typical on; each is compared in one vectorised pass with those not yet
-    in its component and of a size that can meet the threshold.
+    in its component and of a size that can meet the threshold. Sets of one id are in one component.
     """
     n = len(ids)
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
@@ -157,8 +153,8 @@ def link_components(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np
     posted, begin = owner[order], np.concatenate([[0], np.cumsum(spread)])
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     typical = np.add.reduceat(spread[code], firsts[:-1]) / sizes if n else np.zeros(0)
-    labels = np.arange(n)
-    components = n
+    labels = np.unique(ids, return_inverse=True)[1]
+    components = len(np.unique(labels))
     for i in np.argsort(-typical, kind="stable"):
         if components == 1:
             break
@@ -206,6 +202,32 @@ def clusters(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("label propagation did not settle")
 
 
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, key): shingles of which two sets of one cluster share at least one wherever they meet the threshold.
+
+    Shingles are ordered by how many sets of the cluster hold them, the rarest first. Sets A and B at the threshold
+    share percent % of the larger one or more, so they meet within the first |A| - ceil(percent % of |A|) + 1 of A and
+    the same of B. Shingles that one set alone holds are no keys.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, node, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "doc_id", "shingles"))):
+                values = np.frombuffer(raw, np.int64)
+                n = len(values)
+                part = int(K.signed(np.bitwise_xor.reduce(K.mix(values.view(np.uint64)), keepdims=True))[0])
+                columns = [np.full(n, cluster), np.full(n, node), np.full(n, part), np.full(n, n - -(-percent * n // 100) + 1), values]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cluster", "node", "part", "few", "key"])
+
+    rows = materialize(sets.mapInArrow(spell, "cluster long, node long, part long, few long, key long"), "shingles")
+    spread = rows.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rarest = Window.partitionBy("node", "part").orderBy(F.coalesce("n", F.lit(1)), "key")
+    ranked = rows.join(spread, ["cluster", "key"], "left").withColumn("r", F.row_number().over(rarest))
+    prefix = ranked.filter("r <= few and n > 1").select("cluster", "node", F.xxhash64("cluster", "key").alias("key")).distinct()
+    shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return prefix.join(shared, "key").select("node", "key")
+
+
 def _verified(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of asked whose sets meet the threshold; a row of two sets at a time."""
 
@@ -219,42 +241,57 @@ def _verified(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sizes = [F.length("x"), F.length("y")]
+    both = both.filter(F.least(*sizes) * 100 >= F.greatest(*sizes) * percent)  # the smaller set bounds what is shared
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def link_large(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def link_large(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, component_id) of the members of large clusters, without gathering any.
 
-    ``pairs`` lists members under the buckets they share. In a round each bucket that still holds several
-    components names up to CENTRES centres outside its largest component, and every member of another component is
-    verified against them; links merge components. A bucket is done when all members outside its largest
+    Members meet under the ``prefix_keys`` they share. In a round each key that still holds several components
+    names centres outside its largest component, and every member of another component is verified against them;
+    links merge components. A key is done when one component is left in it, or all members outside its largest
     component have been centres: every pair of different components in it has then been compared, and pairs within
-    a component need no comparison. A round costs rows in proportion to the members, however large a bucket is.
+    a component need no comparison. Keys that are done leave. A round costs rows in proportion to the members,
+    however many a key has; the centres of a key double from CENTRES to MOST_CENTRES, so a key of m texts that are
+    all unlike takes some m / MOST_CENTRES rounds.
     """
-    labels = materialize(pairs.select("node", F.col("node").alias("label")).distinct(), "labels")
-    used = None
+    pairs = materialize(prefix_keys(sets, percent), "keys")
+    labels = materialize(sets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct(), "labels")
+    used, most = None, CENTRES
     while True:
-        at = materialize(pairs.join(labels, "node"), "buckets")
+        at = materialize(pairs.join(labels, "node"), "members")
         sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.label").alias("most"))
-        outside = at.join(largest, "key").filter("label <> most").drop("most")
+        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.label").alias("top"))
+        outside = at.join(largest, "key").filter("label <> top").drop("top")
         if used is not None:
             outside = outside.join(used, ["key", "node"], "left_anti")
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        centres = materialize(outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CENTRES).select("key", F.col("node").alias("b"), F.col("label").alias("other")), "centres")
+        centres = materialize(outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("key", F.col("node").alias("b"), F.col("label").alias("other")), "centres")
         if centres.isEmpty():
             return labels.select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
         asked = at.join(centres, "key").filter("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        links = materialize(_verified(materialize(asked, "asked"), sets, percent), "links")
+        links = materialize(_verified(asked, sets, percent), "links")
         now = centres.select("key", F.col("b").alias("node"))
-        used = materialize(now if used is None else used.unionByName(now), "used")
+        open_keys = now.select("key").distinct()
+        used = materialize(now if used is None else used.join(open_keys, "key").unionByName(now), "used")
+        left = materialize(at.join(open_keys, "key").select("node", "key"), "keys")
+        discard(pairs, at, centres)
+        pairs, most = left, min(2 * most, MOST_CENTRES)
         if links.isEmpty():
             continue
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        edges = links.join(of("a"), "a").join(of("b"), "b").select("la", "lb").distinct().withColumn("key", F.xxhash64("la", "lb"))
-        graph = materialize(edges.select(F.col("la").alias("node"), "key").unionByName(edges.select(F.col("lb").alias("node"), "key")), "edges")
-        merged = clusters(graph).select(F.col("node").alias("label"), F.col("label").alias("into"))
-        labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+        edges = links.join(of("a"), "a").join(of("b"), "b").select("la", "lb").distinct()
+        labels = materialize(_merge(labels, edges), "labels")
+
+
+def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (with a column label) after the labels la and lb of each edge have become one, the least."""
+    keyed = edges.withColumn("key", F.xxhash64("la", "lb"))
+    graph = materialize(keyed.select(F.col("la").alias("node"), "key").unionByName(keyed.select(F.col("lb").alias("node"), "key")), "edges")
+    merged = clusters(graph).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return labels.join(merged, "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -263,6 +300,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     arrow_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialize(source.mapInArrow(lambda batches: _sketch(batches, slots), _SKETCH), "sketches")
+    again = materialize(sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "again")
+    repeats = not again.isEmpty()
+    if repeats:  # one row for each text of an id, so that a cluster holds no set of an id twice
+        source = source.join(again, "doc_id", "left_anti").unionByName(source.join(again, "doc_id", "left_semi").dropDuplicates())
     unique = ["n_shingles", "set_a", "set_b"]
     full = sketches.filter("n_shingles > 0")
     least = full.groupBy(*unique).agg(F.min("doc_id").alias("rep"))
@@ -278,17 +319,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sets = spell(members.join(large, "cluster", "left_anti"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
         found = link_components(pdf["doc_id"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]], percent)
-        return pd.DataFrame({"rep": pdf["doc_id"].to_numpy(), "component_id": found})
+        return pd.DataFrame({"rep": pdf["doc_id"].to_numpy(), "component_id": found}).drop_duplicates()
 
     linked = sets.groupBy("cluster").applyInPandas(resolve, "rep long, component_id long")
     if not large.isEmpty():
-        heavy = materialize(members.join(large, "cluster"), "heavy")
-        their = pairs.join(heavy.select(F.col("doc_id").alias("node")), "node")
-        linked = linked.unionByName(link_large(materialize(spell(heavy), "heavy_sets").dropDuplicates(["doc_id"]), materialize(their, "heavy_pairs"), percent))
+        linked = linked.unionByName(link_large(materialize(spell(members.join(large, "cluster")), "heavy_sets"), percent))
     least = least.join(linked, "rep", "left").select(*unique, F.coalesce("component_id", "rep").alias("component_id"))
     out = sketches.select("doc_id", *unique).join(least, unique, "left")
+    if repeats:
+        out = materialize(out.withColumn("label", F.coalesce("component_id", "doc_id")).drop("component_id"), "rows")
+        of_id = out.join(again, "doc_id").groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("doc_id")
+        several = out.join(of_id, "doc_id").select("doc_id", "label").distinct()
+        first = several.groupBy("doc_id").agg(F.min("label").alias("la"))
+        edges = materialize(several.join(first, "doc_id").select("la", F.col("label").alias("lb")).filter("la <> lb").distinct(), "ties")
+        if not edges.isEmpty():
+            out = _merge(out, edges)
+        out = out.withColumnRenamed("label", "component_id")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")
     )

@@ -147,6 +147,37 @@ def test_near_duplicate_chains_and_hot_groups(spark, monkeypatch):
     assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
+def test_large_clusters_get_the_answer_of_small_ones(spark, monkeypatch):
+    """One band of four slots misses many pairs at the threshold; both ways compare all members of a cluster."""
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(25):  # texts that share half of their words, in families of four near copies
+        own = [f"o{i}_{k}" for k in range(60)]
+        for j in range(4):
+            w = common + own
+            w[int(rng.integers(0, 120))] = f"x{i}_{j}"
+            rows.append((10 * i + j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = {tuple(r) for r in minhash_dedup.near_duplicates(df, slots=4).collect()}
+    monkeypatch.setattr(minhash_dedup, "MAX_CLUSTER_SHINGLES", 200)
+    monkeypatch.setattr(minhash_dedup, "CENTRES", 1)
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(df, slots=4).collect()} == small
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(df).collect()} == components(rows, 85)
+
+
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_an_id_with_several_texts_is_one_document(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash_dedup, "MAX_CLUSTER_SHINGLES", most)
+    text = lambda c, changed=0: " ".join([f"{c}{k}" for k in range(100 - changed)] + [f"{c}x{k}" for k in range(changed)])
+    rows = [(7, text("a")), (7, text("b")), (9, text("a", 2)), (3, text("b", 2)), (5, text("c")), (8, text("c")), (8, text("d")), (6, text("d")), (2, text("e"))]
+    rows += [(7, text("a"))] * 5 + [(11, ""), (11, None), (11, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect())
+    least = {7: 3, 9: 3, 3: 3, 5: 5, 8: 5, 6: 5, 2: 2, 11: 2}
+    assert got == Counter((d, 96 if t else 0, least[d], d == least[d]) for d, t in rows)
+
+
 def test_long_words_of_two_letters_do_not_collide(spark):
     """The 1,024-letter Thue-Morse word and its complement: equal under any polynomial hash modulo a power of two."""
     word = "a"
