@@ -56,8 +56,9 @@ def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: st
     """Equi-join whose hot keys are spread: left rows draw one of ``salts``, right rows are listed under all.
 
     For joins that adaptive execution cannot split, such as those below an aggregate on the key. The salt is a
-    hash of the row, so a lost task redraws the same.
+    hash of the row, so a lost task redraws the same. The optimizer does not count the copies of the right rows,
+    so it would broadcast many times what it estimates: the join always shuffles (a broadcast one has no use for salts).
     """
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -34,6 +34,17 @@ def test_broadcast_only_when_small(spark):
     assert "broadcast" not in joins.small(spark.range(10), 1)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_salted_join_does_not_broadcast_its_copies(spark):
+    left = spark.range(3000).select((F.col("id") % 7).alias("k"), "id")
+    right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("y"))
+    for how in ("inner", "left"):
+        got = joins.salted(left, right, "k", how=how)
+        assert rows(got.groupBy("k", "y").count()) == rows(left.join(right, "k", how).groupBy("k", "y").count())
+        got.collect()  # the plan is final then
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_set_operations_check_types(spark):
     with pytest.raises(TypeError):
         relational.set_operation("union", spark.range(1), spark.sql("SELECT 'a'"))
