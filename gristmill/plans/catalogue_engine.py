@@ -411,7 +411,7 @@ DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 @entry("jdbc_roundtrip", "SELECT n_nationkey, n_name FROM nation")
 def _jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export to a table over JDBC and a parallel read of it; the database is one in memory, so this is for local sessions."""
+    """Export to a table over JDBC and a parallel read of it; the database is one in the driver's memory (25 rows at any scale)."""
     import uuid
 
     url = f"jdbc:derby:memory:g{uuid.uuid4().hex};create=true"
