@@ -5,8 +5,9 @@ pair for each byte position is many times the input in every round (figures in t
 equal fingerprints instead.
 
 Every window of 200 bytes owns an anchor: the position, among its first 101, whose next 25 bytes hash least (the
-leftmost on a tie). Equal windows own equal anchors at equal offsets, so a window can only repeat if the 50 and the
-100 bytes from its anchor do: anchors whose fingerprint of these lengths stands alone drop out. Then:
+leftmost on a tie). Equal windows own equal anchors at equal offsets, so a window can only repeat if the 100 bytes
+from its anchor do: anchors whose fingerprint of these stands alone drop out, in one round. (A round on 50 bytes before
+it would leave the same anchors.) Then:
 
 1. all windows of an anchor as one block (200 bytes plus the windows' spread): blocks that occur twice settle
    all their windows at once, which is the bulk of any copied text;
@@ -42,7 +43,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, n
     """Anchors of all windows of ``threshold`` bytes: text number, place, first and last window start, fingerprints."""
     half = threshold // 2
     n = len(raw)
-    names = ("text", "at", "first", "last", "prefix_2", "prefix_4", "block")
+    names = ("text", "at", "first", "last", "prefix", "block")
     if n < threshold:
         return {k: np.zeros(0, dtype=np.int64) for k in names}
     sums = K.prefix_hashes(raw)
@@ -62,11 +63,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, n
     text, place, first, last = text[head], anchor[head], start[head], start[tail]
     pair = lambda a, b: K.mix(a * np.uint64(0x9FB21C651E98DF25) + K.mix(b))
     two = lambda p: pair(seeds[p], seeds[p + SEED_BYTES])
-    prefix_2 = two(place)
-    prefix_4 = pair(prefix_2, two(place + 2 * SEED_BYTES))
+    prefix = pair(two(place), two(place + 2 * SEED_BYTES))
     block = pair(K.span_hashes(sums, first, last + threshold), (place - first).astype(np.uint64))
     base = offsets[text]
-    return dict(zip(names, (text, place - base, first - base, last - base, K.signed(prefix_2), K.signed(prefix_4), K.signed(block))))
+    return dict(zip(names, (text, place - base, first - base, last - base, K.signed(prefix), K.signed(block))))
 
 
 def anchors_in_parts(raw: np.ndarray, offsets: np.ndarray, threshold: int, most: int) -> dict[str, np.ndarray]:
@@ -125,16 +125,14 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     def find(raw: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> list:
         got = anchors_in_parts(raw, offsets, threshold, long_text)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
-        return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], *(got[k] for k in ("prefix_2", "prefix_4", "block"))]
-
-    schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), *((c, pa.int64()) for c in ("prefix_2", "prefix_4", "block"))]
-    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, prefix_2 long, prefix_4 long, block long"), "anchors")
-    for prefix in ("prefix_2", "prefix_4"):  # anchors whose 50 or 100 bytes are unique leave
-        names = materialize(repeated(rows, prefix), prefix)
-        kept = materialize(rows.join(names, prefix).drop("prefix_2"), "paired")
-        discard(rows, names)
-        rows = kept
-    rows = rows.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), F.col("prefix_4").alias("prefix"), "block")
+        return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], got["prefix"], got["block"]]
+
+    schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), ("prefix", pa.int64()), ("block", pa.int64())]
+    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, prefix long, block long"), "anchors")
+    names = materialize(repeated(rows, "prefix"), "prefix")
+    paired = materialize(rows.join(names, "prefix"), "paired")  # anchors whose 100 bytes are unique leave
+    discard(rows, names)
+    rows = paired.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), "prefix", "block")
     blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "prefix")).alias("_one"))
     twice = blocks.filter("_n > 1")
     settled = rows.join(twice.select("block"), "block").select("rid", "first", "last")

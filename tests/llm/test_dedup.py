@@ -211,6 +211,16 @@ def test_superminhash_varies_less_than_independent_slots():
     assert abs(np.mean(estimates) - j) < 0.015 and np.var(estimates) < 0.85 * j * (1 - j) / slots
 
 
+def test_suffix_dedup_pairs_anchors_once(docs, monkeypatch):
+    """All anchors are shuffled and written in one round; each further one costs memory, disk and files."""
+    written, write = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label: written.append((label, out := write(df, label))) or out)
+    suffix_dedup.remove_repeats(docs).count()
+    labels = [label for label, _ in written]
+    assert labels.count("paired") == 1 and len(labels) == 7
+    assert not {"prefix_2", "prefix_4"} & set(dict(written)["anchors"].columns)
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
     assert substring_dedup.remove_seen(no_docs).count() == 0
