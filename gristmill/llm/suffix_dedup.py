@@ -16,7 +16,7 @@ it would leave the same anchors.) Then:
 
 Fingerprints are 62 bits (two lanes modulo a prime), which name equal strings alike on every executor. One that a third
 of all rows share costs one row a task in the partial aggregate; joins back to the rows are sort-merge joins that
-adaptive execution splits. A document's own spans are gathered by document only.
+adaptive execution splits (``holding``). A document's own spans are gathered by document only.
 
 Defined cases: a null text is empty; texts under 200 bytes keep all; repeated rows repeat each other and are
 removed whole where long enough; an empty table yields no rows; extra columns are ignored.
@@ -103,6 +103,16 @@ def repeated(names: DataFrame, column: str) -> DataFrame:
     return names.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(column)
 
 
+def holding(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of a column is among the distinct ``names``.
+
+    Names that an aggregate has just dealt by the column would be joined where they are, and a value that many rows
+    share would stay with one task. A second key makes both sides shuffle, which adaptive execution can split.
+    """
+    keyed = lambda df: df.withColumn("_second", F.pmod(F.xxhash64(column), F.lit(1 << 20)))
+    return keyed(rows).join(keyed(names), [column, "_second"]).drop("_second")
+
+
 _SPANS = "array<struct<at:long,first:long,last:long>>"
 
 
@@ -135,7 +145,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     rows = paired.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), "prefix", "block")
     blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "prefix")).alias("_one"))
     twice = blocks.filter("_n > 1")
-    settled = rows.join(twice.select("block"), "block").select("rid", "first", "last")
+    settled = holding(rows, twice.select("block"), "block").select("rid", "first", "last")
     single = blocks.filter("_n = 1").select("_one.*", F.lit(True).alias("open"))
     # one copy of each repeated block stands in for all, where an open block shares its anchor's prefix
     models = twice.select("_one.*", F.lit(False).alias("open")).join(single.select("prefix").distinct(), "prefix").select(*single.columns)
@@ -168,7 +178,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     parts = parts.mapInArrow(_per_text(part_schema, name_parts), ", ".join(f"{c} long" for c, _ in part_schema[:-1]) + ", open boolean")
     parts = materialize(parts, "parts")
     wholes = parts.groupBy("whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "core")).alias("_one"), F.max("open").alias("open"))
-    settled_parts = parts.filter("open").join(wholes.filter("_n > 1").select("whole"), "whole").select("rid", "first", "last")
+    settled_parts = holding(parts.filter("open"), wholes.filter("_n > 1").select("whole"), "whole").select("rid", "first", "last")
     cores = repeated(wholes.select("_one.core"), "core")  # of different parts, since copies have just been folded
     pending = wholes.select("_one.*", (F.col("_n") == 1).alias("lone"), "open").join(cores, "core")
     wanted = pending.filter("lone and open").select("core").distinct()
@@ -186,7 +196,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     window_schema = [(c, pa.int64()) for c in ("rid", "first", "name")]
     windows = with_text(pending).select("rid", "text", "spans").mapInArrow(_per_text(window_schema, name_windows), "rid long, first long, name long")
     windows = materialize(windows, "windows")
-    settled_windows = windows.join(repeated(windows, "name"), "name").select("rid", "first", F.col("first").alias("last"))
+    settled_windows = holding(windows, repeated(windows, "name"), "name").select("rid", "first", F.col("first").alias("last"))
     return settled.unionByName(settled_parts).unionByName(settled_windows)
 
 

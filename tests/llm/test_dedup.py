@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest_llm import lower, words
+from pyspark.sql import functions as F
 
 from gristmill.llm import fm_index, minhash_dedup, substring_dedup, suffix_dedup
 
@@ -221,6 +222,24 @@ def test_suffix_dedup_pairs_anchors_once(docs, monkeypatch):
     assert not {"prefix_2", "prefix_4"} & set(dict(written)["anchors"].columns)
 
 
+def test_suffix_dedup_splits_common_names(spark):
+    """A join back to the rows deals a name that most rows share to several tasks."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("block"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    put = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        rows = suffix_dedup.materialize(rows.repartition(8), "rows")
+        twice = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("block")
+        held = suffix_dedup.holding(rows, twice, "block").withColumn("task", F.spark_partition_id())
+        found = held.groupBy("task").agg(F.count("x").alias("n"), F.max("x")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in found) == 180_000 and max(r["n"] for r in found) < 90_000
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
     assert substring_dedup.remove_seen(no_docs).count() == 0
