@@ -33,17 +33,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Without a second file for each file's checksums, which Hadoop's local file system would start one more process for;
+#: other file systems do not read this.
+_BARE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def materialize(df: DataFrame, label: str, bare: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    Survives lost executors. The files go when the process ends.
+    Survives lost executors. The files go when the process ends. ``bare``: a local folder gets no checksum files; the
+    checksums in Parquet's pages are held against the data in their place.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(_BARE if bare else {})).parquet(path)
     atexit.register(_remove, spark, path)
     free_shuffles(spark)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).options(**({"parquet.page.verify-checksum.enabled": "true"} if bare else {})).parquet(path)
     _PATHS[id(out)] = (out, path)
     return out
 

@@ -138,10 +138,9 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
         return [rid[got["text"]], got["at"], got["at"] - got["first"], got["at"] - got["last"], got["prefix"], got["block"]]
 
     schema = [("rid", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("near", pa.int16()), ("prefix", pa.int64()), ("block", pa.int64())]
-    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, prefix long, block long"), "anchors")
-    names = materialize(repeated(rows, "prefix"), "prefix")
-    paired = materialize(rows.join(names, "prefix"), "paired")  # anchors whose 100 bytes are unique leave
-    discard(rows, names)
+    rows = materialize(source.mapInArrow(_per_text(schema, find, min(long_text, 1 << 19)), "rid long, at long, back short, near short, prefix long, block long"), "anchors", bare=True)
+    paired = materialize(holding(rows, repeated(rows, "prefix"), "prefix"), "paired", bare=True)  # anchors whose 100 bytes are unique leave
+    discard(rows)
     rows = paired.select("rid", "at", (F.col("at") - F.col("back")).alias("first"), (F.col("at") - F.col("near")).alias("last"), "prefix", "block")
     blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "prefix")).alias("_one"))
     twice = blocks.filter("_n > 1")
@@ -149,7 +148,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     single = blocks.filter("_n = 1").select("_one.*", F.lit(True).alias("open"))
     # one copy of each repeated block stands in for all, where an open block shares its anchor's prefix
     models = twice.select("_one.*", F.lit(False).alias("open")).join(single.select("prefix").distinct(), "prefix").select(*single.columns)
-    asked = materialize(single.unionByName(models), "asked")
+    asked = single.unionByName(models)
 
     def with_text(spans: DataFrame) -> DataFrame:
         listed = spans.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spans.columns if c in ("at", "first", "last", "open")])).alias("spans"))
@@ -176,7 +175,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
     part_schema = [*((c, pa.int64()) for c in ("rid", "at", "first", "last", "core", "whole")), ("open", pa.bool_())]
     parts = with_text(asked.select("rid", "at", "first", "last", "open")).select("rid", "text", "spans")
     parts = parts.mapInArrow(_per_text(part_schema, name_parts), ", ".join(f"{c} long" for c, _ in part_schema[:-1]) + ", open boolean")
-    parts = materialize(parts, "parts")
+    parts = materialize(parts, "parts", bare=True)
     wholes = parts.groupBy("whole").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rid", "at", "first", "last", "core")).alias("_one"), F.max("open").alias("open"))
     settled_parts = holding(parts.filter("open"), wholes.filter("_n > 1").select("whole"), "whole").select("rid", "first", "last")
     cores = repeated(wholes.select("_one.core"), "core")  # of different parts, since copies have just been folded
@@ -195,7 +194,7 @@ def duplicate_starts(source: DataFrame, threshold: int, long_text: int = LONG_TE
 
     window_schema = [(c, pa.int64()) for c in ("rid", "first", "name")]
     windows = with_text(pending).select("rid", "text", "spans").mapInArrow(_per_text(window_schema, name_windows), "rid long, first long, name long")
-    windows = materialize(windows, "windows")
+    windows = materialize(windows, "windows", bare=True)
     settled_windows = holding(windows, repeated(windows, "name"), "name").select("rid", "first", F.col("first").alias("last"))
     return settled.unionByName(settled_parts).unionByName(settled_windows)
 
@@ -216,7 +215,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     # rows alike in id and text share a rid: each is counted, so they repeat each other, and one list serves all
-    ranges = materialize(duplicate_starts(source, threshold, long_text), "starts")
+    ranges = materialize(duplicate_starts(source, threshold, long_text), "starts", bare=True)
     listed = ranges.groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("at"), "first", "last")).alias("spans"))
     joined = source.join(listed, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest_llm import lower, words
 from pyspark.sql import functions as F
 
-from gristmill.llm import fm_index, minhash_dedup, substring_dedup, suffix_dedup
+from gristmill.llm import common, fm_index, minhash_dedup, substring_dedup, suffix_dedup
 
 
 def test_suffix_dedup(docs, texts):
@@ -213,12 +214,12 @@ def test_superminhash_varies_less_than_independent_slots():
 
 
 def test_suffix_dedup_pairs_anchors_once(docs, monkeypatch):
-    """All anchors are shuffled and written in one round; each further one costs memory, disk and files."""
+    """All anchors are shuffled and written in one round, and few tables are written: each write starts processes."""
     written, write = [], suffix_dedup.materialize
-    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label: written.append((label, out := write(df, label))) or out)
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label, **how: written.append((label, out := write(df, label, **how))) or out)
     suffix_dedup.remove_repeats(docs).count()
     labels = [label for label, _ in written]
-    assert labels.count("paired") == 1 and len(labels) == 7
+    assert labels.count("paired") == 1 and len(labels) == 5
     assert not {"prefix_2", "prefix_4"} & set(dict(written)["anchors"].columns)
 
 
@@ -240,6 +241,19 @@ def test_suffix_dedup_splits_common_names(spark):
     assert sum(r["n"] for r in found) == 180_000 and max(r["n"] for r in found) < 90_000
 
 
+def test_bare_tables_hold_their_checksums(spark):
+    out = common.materialize(spark.range(5000).coalesce(1), "bare", bare=True)
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parent
+    assert sum(r["id"] for r in out.collect()) == 5000 * 4999 // 2
+    assert not list(folder.glob(".*.crc"))
+    (part,) = folder.glob("part-*")
+    raw = bytearray(part.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    part.write_bytes(raw)
+    with pytest.raises(Exception, match="CRC checksum"):
+        out.collect()
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
     assert substring_dedup.remove_seen(no_docs).count() == 0
